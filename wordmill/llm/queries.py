@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wordmill.llm import packing
+from wordmill.llm import language, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_language_id": language.op3_language_id,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
 }
 
