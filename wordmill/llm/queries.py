@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wordmill.llm import language, packing
+from wordmill.llm import editcount, language, licenses, packing, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": licenses.op1_license_scan,
+    "op2_edit_token_counts": editcount.op2_edit_token_counts,
     "op3_language_id": language.op3_language_id,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
+    "op6_secret_scan": secrets.op6_secret_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {}
