@@ -41,7 +41,7 @@ def bitmap(keys: Column | str, df: DataFrame, count: int, bits_a_key: int = 16,
         size *= 2
     key = F.col(keys) if isinstance(keys, str) else keys
     at = key.bitwiseAND(F.lit(size - 1))
-    rows = df.select(F.shiftright(at, 6).alias("w"), F.shiftleft(F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    rows = df.select(F.shiftright(at, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
     table = rows.toPandas()  # at most size / 64 rows of 16 bytes
     out = np.zeros(size // 64, np.uint64)
     out[table["w"].to_numpy(np.int64)] = table["b"].to_numpy(np.int64).view(np.uint64)

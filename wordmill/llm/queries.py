@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wordmill.llm import editcount, language, licenses, packing, secrets
+from wordmill.llm import editcount, language, licenses, neardup, packing, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": language.op3_language_id,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_secret_scan": secrets.op6_secret_scan,
+    "op8_bagminhash_neardup": neardup.op8_bagminhash_neardup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
