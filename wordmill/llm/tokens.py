@@ -184,7 +184,8 @@ class WordBpe:
         """Normalised code points, their offsets, starts of pieces and how many ids each piece has."""
         points, offsets = self.normal(points, offsets)
         starts, ends = self.pieces(points, offsets)
-        return points, offsets, starts, self.count[self.entries(points, starts, ends)]
+        entry = self.entries(points, starts, ends)  # may replace self.count
+        return points, offsets, starts, self.count[entry]
 
     def encode(self, column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, row after the last, ids of all texts in a row, where each text's ids begin, with the end)."""
