@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wordmill.llm import decontaminate, editcount, fingerprints, language, licenses, neardup, packing, secrets
+from wordmill.llm import decontaminate, editcount, fingerprints, language, licenses, lines, neardup, packing, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_secret_scan": secrets.op6_secret_scan,
     "op7_fingerprints": fingerprints.op7_fingerprints,
     "op8_bagminhash_neardup": neardup.op8_bagminhash_neardup,
+    "op9_line_dedup": lines.op9_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
