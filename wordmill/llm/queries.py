@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wordmill.llm import decontaminate, editcount, fingerprints, language, licenses, lines, neardup, packing, secrets
+from wordmill.llm import decontaminate, editcount, fingerprints, language, licenses, lines, neardup, packing, quotes, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_fingerprints": fingerprints.op7_fingerprints,
     "op8_bagminhash_neardup": neardup.op8_bagminhash_neardup,
     "op9_line_dedup": lines.op9_line_dedup,
+    "op10_chat_quotes": quotes.op10_chat_quotes,
 }
 
 ORACLE_SQL: dict[str, str] = {}
