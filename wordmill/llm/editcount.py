@@ -82,8 +82,8 @@ class Tree:
         total = self.n_chars
         start = min(max(0, start), total)
         end = min(max(start, end), total)
-        if not len(self.starts):
-            return 0, 0, new
+        if not total:
+            return 0, max(0, len(self.starts) - 1), new
         first, before = self.leaf(max(0, start - 1))
         last, _ = self.leaf(min(end, max(0, total - 1)))
         if last < first:

@@ -1,7 +1,8 @@
 """Near-duplicate texts: signatures banded in Spark, candidates verified on whole shingle bags or sets, classes by components.
 
-No bucket is ever gathered. In each bucket all texts are held against one, the most central; then, round by round, against
-the most central of those that are still in other classes. Work grows with the rows of a bucket, not with their pairs.
+No bucket is ever gathered. In each bucket all texts are held against a few, the most central (the one that shares most
+buckets with others) and some by chance; then, round by round, those still in other classes against the most central of
+each side. Work grows with the rows of a bucket, not with their pairs.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ from wordmill.llm.cluster import bitmap, in_bitmap, stash
 SHINGLE, LIKENESS = 5, 0.8
 #: Places in a band: at a likeness of 0.8, 32 bands of 4 miss a pair once in 20 million.
 ROWS = 4
-#: How often texts of a bucket that are still apart are held against a new one.
-ROUNDS = 4
+#: How often texts are held against others of their buckets; from the second time on only across classes. CHANCE is how
+#: many texts taken by hash, beside the most central one, each bucket is held against the first time.
+ROUNDS, CHANCE = 2, 3
 Signer = Callable[[np.ndarray, np.ndarray, int], np.ndarray]
 
 
@@ -120,22 +122,20 @@ def verified(pairs: DataFrame, bag: DataFrame, least: float) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node and comp, the least node of its component, for all nodes of edges (a, b).
 
-    Large star and small star in turn (Kiveris and others, 2014), until a small star changes nothing: O(log n) rounds,
-    each two group-bys with partial aggregation; no neighbourhood is gathered.
+    Large star and small star in turn (Kiveris and others, 2014) until all trees are stars: O(log n) rounds of group-bys
+    with partial aggregation and joins; no neighbourhood is gathered.
     """
-    now = stash(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
+    now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v")
     while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = stash(large)
+        both = now.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
+        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        down = stash(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        after = stash(small)
+        now = stash(down.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u != v").distinct())
         # a forest of stars: no node is both a root and below one, and every node has one root
-        unsettled = after.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u").unionByName(after.select("v").join(after.select(F.col("u").alias("v")), "v", "left_semi").select(F.col("v").alias("u")))
-        now = after
-        if unsettled.isEmpty():
+        ends = now.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("n")), F.struct(F.col("v").alias("node"), F.lit(1 << 20).alias("n")))).alias("e"))
+        places = ends.groupBy("e.node").agg(F.sum(F.when(F.col("e.n") == 1, 1).otherwise(0)).alias("below"), F.max("e.n").alias("most"))
+        if places.where("below > 1 OR below = 1 AND most > 1").isEmpty():
             break
     return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
@@ -162,34 +162,32 @@ def classes(docs: DataFrame, sign: Signer = signatures.bag_minhash, counted: boo
             good = np.flatnonzero(in_bitmap(wanted.value, flat.to_numpy(zero_copy_only=False).view(np.uint64)))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[good])), flat.take(pa.array(good))], ["node", "key"])
 
-    member = stash(own.select("node", "bands").mapInArrow(maybe, "node binary, key long").distinct().join(shared, "key"))
-    member = member.join(member.groupBy("key").agg(F.count("*").alias("size")), "key")
-    central = stash(member.groupBy("node").agg(F.sum("size").alias("rank")))
-    member = stash(member.select("key", "node").join(central, "node"))
-    empty = docs.sparkSession.createDataFrame([], "a binary, b binary")
-    bag = links = comps = None
-    done = empty
-    for _ in range(rounds if filled else 0):
+    member = own.select("node", "bands").mapInArrow(maybe, "node binary, key long").distinct()
+    sized = member.join(member.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key")
+    member = stash(sized.join(sized.groupBy("node").agg(F.sum("size").alias("rank")), "node").select("key", "node", "rank"))
+    pairs = lambda met: met.where("lead != node").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
+    done = comps = links = bag = None
+    for turn in range(rounds if filled else 0):
+        chance = [F.min(F.struct(F.xxhash64("node", F.lit(turn * CHANCE + k)).alias("h"), "node")) for k in range(CHANCE)]
         if comps is None:
-            at = member.withColumn("comp", F.col("node"))
+            lead = member.groupBy("key").agg(F.array(F.max(F.struct("rank", "node"))["node"], *(c["node"] for c in chance)).alias("leads"))
+            fresh = pairs(member.join(lead, "key").select("node", F.explode("leads").alias("lead")))
         else:
             at = member.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-            apart = at.groupBy("key").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).where("p != q").select("key")
-            at = at.join(apart, "key")
-        lead = F.struct("rank", F.xxhash64("node", "key").alias("tie"), "node", "comp")
-        best = at.groupBy("key").agg(F.max(lead).alias("best")).select("key", F.col("best.node").alias("lead"), F.col("best.comp").alias("of"))
-        met = at.join(best, "key")
-        if comps is not None:  # and the most central text outside the class of the most central one, against all of other classes
-            second = met.where("comp != of").groupBy("key").agg(F.max(lead).alias("best")).select("key", F.col("best.node").alias("lead"), F.col("best.comp").alias("of"))
-            met = met.unionByName(at.join(second, "key"))
-        pairs = met.where("comp != of").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
-        fresh = stash(pairs.join(done, ["a", "b"], "left_anti"))
-        if fresh.isEmpty():
-            break
-        done = done.unionByName(fresh)
+            apart = at.groupBy("key").agg(F.min("comp").alias("p"), F.max("comp").alias("q"), F.max(F.struct("rank", "node", "comp")).alias("best"))
+            met = stash(at.join(apart.where("p != q").select("key", "best"), "key"))
+            chance = [F.min(F.struct(F.xxhash64("node", F.lit(turn * CHANCE + k)).alias("h"), "node", "comp")) for k in range(CHANCE)]
+            next_best = F.max(F.when(F.col("comp") != F.col("best.comp"), F.struct("rank", "node", "comp")))
+            lead = met.groupBy("key").agg(F.array(*(F.struct(c["node"].alias("node"), c["comp"].alias("comp")) for c in (F.max("best"), next_best, *chance))).alias("leads"))
+            both = met.join(lead, "key").select("node", "comp", F.explode("leads").alias("l"))
+            fresh = pairs(both.where(F.col("comp") != F.col("l.comp")).select("node", F.col("l.node").alias("lead"))).join(done, ["a", "b"], "left_anti")
+        fresh = stash(fresh)
+        done = fresh if done is None else done.unionByName(fresh)
         if bag is None:
-            bag = stash(bags(docs, bitmap(_begin("node"), central, central.count()), counted))
+            bag = stash(bags(docs, bitmap(_begin("node"), member, filled), counted))
         good = stash(verified(fresh, bag, least))
+        if good.isEmpty():
+            break
         links = good if links is None else links.unionByName(good)
         comps = stash(components(links.select("a", "b")))
     if comps is None:
