@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wordmill.functions.text import category_base
 
@@ -45,18 +46,18 @@ def channel(typed: str, word: str) -> float:
     return last[-1]
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def channel_cost(typed: pd.Series, word: pd.Series) -> pd.Series:
     return pd.Series([None if t is None or w is None else channel(t, w) for t, w in zip(typed, word, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def completion_cost(typed: pd.Series, word: pd.Series) -> pd.Series:
     """The cheapest of: the whole word, or one of its beginnings and half a point for each sign that follows."""
     return pd.Series([None if t is None or w is None else min(channel(t, w[:k]) + 0.5 * (len(w) - k) for k in range(max(1, len(t) - 1), len(w) + 1)) if len(w) >= max(1, len(t) - 1) else channel(t, w) for t, w in zip(typed, word, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def rewrite_distance(typed: pd.Series, word: pd.Series) -> pd.Series:
     """Levenshtein distance in which restored letters and apostrophes are free."""
     fold = str.maketrans("áéíóúýðþö", "aeiouydto")
@@ -173,14 +174,14 @@ VARIANTS = {"edit": lambda w: [c for c, _ in edits1(w)], "diacritic": restoratio
 def variants(kind: str):
     """A column function: all variants of one kind."""
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(T.ArrayType(T.StringType()))
     def of(word: pd.Series) -> pd.Series:
         return word.map(VARIANTS[kind], na_action="ignore")
 
     return of
 
 
-@F.pandas_udf("array<struct<old: string, new: string>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("old", T.StringType()), T.StructField("new", T.StringType())])))
 def word_diff(before: pd.Series, after: pd.Series) -> pd.Series:
     """Words that took another's place: the replaced stretches of a diff, paired in order of likeness."""
     from difflib import SequenceMatcher

@@ -81,8 +81,9 @@ def lane_relax(p: Column, s: Settings = SETTINGS) -> Column:
     return p + s.sentence_relax * (0.5 - p)
 
 
-def blend(p: Column, first: Column, second: Column, boost: Column = F.lit(0.0)) -> Column:
+def blend(p: Column, first: Column, second: Column, boost: Column | None = None) -> Column:
     """log-sum-exp of two lanes' z, and what is personal; with a boost no lane counts below -0.5."""
+    boost = F.lit(0.0) if boost is None else boost
     low = F.when(boost > 0, -0.5).otherwise(float("-inf"))
     a, b = F.log(p) + F.greatest(first, low), F.log(1 - p) + F.greatest(second, low)
     most = F.greatest(a, b)

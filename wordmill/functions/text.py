@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Letters of words that lexicons take; one apostrophe may stand between two of them.
 LETTERS = "a-zþðæöáéíóúý"
@@ -15,7 +16,7 @@ _ACCENTED, _BASE = "áéíóúýö", "aeiouyo"
 _WIDE, _WIDE_BASE = "àâäáãåçèéêëìíîïñòóôöõùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
@@ -135,7 +136,7 @@ def escape_tsv(text: Column) -> Column:
     return F.replace(F.replace(F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("\t"), F.lit("\\t")), F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape_tsv(text: pd.Series) -> pd.Series:
     """One pass from the left, so that an escaped backslash never begins another escape."""
     import re

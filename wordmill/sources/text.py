@@ -106,7 +106,7 @@ def annotations(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy(F.col("_cp").alias("cp")).agg(name.alias("name"), F.array_distinct(F.flatten(parts)).alias("keywords"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _from_hex(points):
     return points.map(lambda p: "".join(chr(int(x, 16)) for x in p.split()), na_action="ignore")
 
