@@ -12,6 +12,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of an Arrow batch; by Spark's default of 10,000 a batch of texts takes tens of MB in the JVM and again in Python.
+BATCH = 2000
+
+
+def bounded(docs: DataFrame) -> DataFrame:
+    """The same rows; from now on their session hands Python batches of BATCH rows at most."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(docs.sparkSession.conf.get(key)) <= BATCH:
+        docs.sparkSession.conf.set(key, str(BATCH))
+    return docs
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; where it is unset (one machine), a temporary one."""
     if path := spark.conf.get("spark.checkpoint.dir", None):

@@ -10,8 +10,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Code points that one numpy step works on; a longer document makes a step of its own.
-STEP = 600_000
+#: Bytes and texts that one numpy step works on at most; a longer document makes a step of its own.
+STEP, TEXTS = 300_000, 1024
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
@@ -121,12 +121,12 @@ def code_points(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def steps(column: pa.Array | pa.ChunkedArray, step: int = STEP) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, row after the last, code points, their offsets) of runs of whole texts of about step bytes."""
+    """(first row, row after the last, code points, their offsets) of runs of at most TEXTS whole texts of about step bytes."""
     column = plain(column)
     sizes = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)) if len(column) else []
     lo, done = 0, 0
     while lo < len(column):
-        hi = max(lo + 1, int(np.searchsorted(sizes, done + step, "right")))
+        hi = max(lo + 1, min(lo + TEXTS, int(np.searchsorted(sizes, done + step, "right"))))
         yield lo, hi, *code_points(column[lo:hi])
         lo, done = hi, int(sizes[hi - 1])
 
