@@ -1,8 +1,8 @@
 """Near-duplicate texts: signatures banded in Spark, candidates verified on whole shingle bags or sets, classes by components.
 
-No bucket is ever gathered. In each bucket all texts are held against a few, the most central (the one that shares most
-buckets with others) and some by chance; then, round by round, those still in other classes against the most central of
-each side. Work grows with the rows of a bucket, not with their pairs.
+No bucket is ever gathered. In each large bucket all texts are held against a few, the most central (the one that shares
+most buckets with others) and some by chance; then every pair that is still in different classes is verified, blocks of
+texts against each other, so that the classes are those of all pairs that share a bucket.
 """
 
 from __future__ import annotations
@@ -22,9 +22,9 @@ from wordmill.llm.cluster import bitmap, in_bitmap, stash
 SHINGLE, LIKENESS = 5, 0.8
 #: Places in a band: at a likeness of 0.8, 32 bands of 4 miss a pair once in 20 million.
 ROWS = 4
-#: How often texts are held against others of their buckets; from the second time on only across classes. CHANCE is how
-#: many texts taken by hash, beside the most central one, each bucket is held against the first time.
-ROUNDS, CHANCE = 2, 3
+#: Buckets of more nodes than SMALL are first held against a few: the most central and CHANCE taken by hash. Buckets of
+#: more than BLOCK nodes are dealt into blocks, of which every pair meets.
+SMALL, CHANCE, BLOCK = 16, 3, 512
 Signer = Callable[[np.ndarray, np.ndarray, int], np.ndarray]
 
 
@@ -106,17 +106,106 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return same / max(1, len(both) - same)
 
 
-def verified(pairs: DataFrame, bag: DataFrame, least: float) -> DataFrame:
-    """Of pairs (a, b) those whose bags are alike enough, with the likeness."""
-    left, right = bag.select(F.col("node").alias("b"), F.col("bag").alias("bag_b")), bag.select(F.col("node").alias("a"), F.col("bag").alias("bag_a"))
+Check = Callable[[list[bytes], list[bytes]], np.ndarray]
+
+
+def bag_likeness(least: float) -> Check:
+    """likeness() of pairs of bags; -1 where their sizes alone put it below `least`."""
+
+    def check(xs: list[bytes], ys: list[bytes]) -> np.ndarray:
+        x, y = np.array([len(t) for t in xs], float), np.array([len(t) for t in ys], float)
+        out = np.full(len(xs), -1.0)
+        for i in np.flatnonzero(np.minimum(x, y) >= least * np.maximum(x, y)).tolist():
+            out[i] = likeness(np.frombuffer(xs[i], np.uint32), np.frombuffer(ys[i], np.uint32))
+        return out
+
+    return check
+
+
+def verified(pairs: DataFrame, data: DataFrame, check: Check, least: float) -> DataFrame:
+    """Of pairs (a, b) those that check() finds alike enough by their data (node, data), with the likeness."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([likeness(np.frombuffer(p.as_buffer(), np.uint32), np.frombuffer(q.as_buffer(), np.uint32)) for p, q in zip(batch.column(2), batch.column(3), strict=True)], float)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x)], ["a", "b", "likeness"]).filter(pa.array(x >= least))
-
-    joined = pairs.join(left, "b").join(right, "a").select("a", "b", "bag_a", "bag_b")
-    return joined.mapInArrow(run, "a binary, b binary, likeness double")
+            x = check(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.float64())], ["a", "b", "likeness"]).filter(pa.array(x >= least, pa.bool_()))
+
+    left, right = data.select(F.col("node").alias("a"), F.col("data").alias("x")), data.select(F.col("node").alias("b"), F.col("data").alias("y"))
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary, likeness double")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.Table]:
+    """Runs of whole groups (equal values of the first column) of `rows` rows or, where a group ends later, more."""
+    parts: list[pa.RecordBatch] = []
+    for batch in batches:
+        parts.append(batch)
+        if sum(p.num_rows for p in parts) >= rows:
+            table = pa.Table.from_batches(parts)
+            group = table.column(0).to_numpy()
+            if len(before := np.flatnonzero(group != group[-1])):
+                yield table.slice(0, int(before[-1]) + 1)
+                parts = table.slice(int(before[-1]) + 1).combine_chunks().to_batches()
+    if parts:
+        yield pa.Table.from_batches(parts)
+
+
+def _across(groups: Iterator[pa.Table], check: Check, least: float) -> Iterator[pa.RecordBatch]:
+    """Links (a, b, likeness) of each group's pairs of different comps; see linked(). What is linked on the way is one comp."""
+    for table in groups:
+        group, key, side = (table[c].to_numpy() for c in ("group", "key", "side"))
+        of, data, node = table["keys"].to_pylist(), table["data"].to_pylist(), table["node"].combine_chunks()
+        of = [frozenset(k) for k in of]
+        comp = table["comp"].combine_chunks().dictionary_encode().indices.to_numpy().copy()
+        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        size = np.diff(np.append(first, len(group)))
+        left = np.repeat(size, size) - (np.arange(len(group)) - np.repeat(first, size))
+        for shift in range(1, int(size.max())):
+            i = np.flatnonzero(left > shift)
+            j = i + shift
+            good = (comp[i] != comp[j]) & ((side[i] < 0) | (side[i] != side[j]))
+            i, j = i[good], j[good]
+            good = np.array([min(of[x] & of[y]) == key[x] for x, y in zip(i.tolist(), j.tolist(), strict=True)], bool)
+            i, j = i[good], j[good]
+            if len(i):
+                x = check([data[k] for k in i.tolist()], [data[k] for k in j.tolist()])
+                some = np.flatnonzero(x >= least)
+                if len(some):
+                    yield pa.RecordBatch.from_arrays([node.take(pa.array(i[some])), node.take(pa.array(j[some])), pa.array(x[some])], ["a", "b", "likeness"])
+                    for k in some.tolist():
+                        comp[comp == comp[j[k]]] = comp[i[k]]
+
+
+def linked(member: DataFrame, data: DataFrame, check: Check, least: float) -> tuple[DataFrame, DataFrame] | None:
+    """Links (a, b, likeness) and their components (node, comp), or None, of nodes that share a key (key, node).
+
+    The links connect whatever the verified pairs of all keys connect. First the nodes of each large bucket are held
+    against its most central one and CHANCE others taken by hash, others for each bucket; most are one component then.
+    After that every pair of a bucket whose nodes are still in different components is verified, without exception: a
+    bucket is dealt into blocks of about BLOCK nodes, and each pair of blocks is a group of rows of its own. A pair that
+    meets in several buckets is verified in that of its least key.
+    """
+    sized = member.join(member.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key")
+    member = stash(sized.join(sized.groupBy("node").agg(F.sum("size").alias("rank")), "node").select("key", "node", "rank", "size"))
+    large = member.where(F.col("size") > SMALL)
+    chance = [F.min(F.struct(F.xxhash64("node", "key", F.lit(k)).alias("h"), "node"))["node"] for k in range(CHANCE)]
+    lead = large.groupBy("key").agg(F.array(F.max(F.struct("rank", "node"))["node"], *chance).alias("leads"))
+    met = large.join(lead, "key").select("node", F.explode("leads").alias("lead")).where("lead != node")
+    links = stash(verified(met.select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct(), data, check, least))
+    at = member.withColumn("comp", F.col("node"))
+    if not links.isEmpty():
+        at = member.join(stash(components(links.select("a", "b"))), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        at = stash(at)
+    apart = at.groupBy("key").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).where("p != q").select("key")
+    at = stash(at.join(apart, "key").select("key", "node", "comp", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
+    keyed = at.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    at = at.withColumn("own", F.pmod(F.xxhash64("node", F.lit(-1)), F.col("blocks")).cast("int"))
+    at = at.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    at = at.select("key", "node", "comp", F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("side"), F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("group"))
+    rows = at.join(keyed.join(data, "node"), "node").select("group", "key", "node", "comp", "side", "keys", "data")
+    rows = rows.repartition(int(member.sparkSession.conf.get("spark.sql.shuffle.partitions")), "group").sortWithinPartitions("group", "key", "node")
+    rest = stash(rows.mapInArrow(lambda batches: _across(_groups(batches), check, least), "a binary, b binary, likeness double"))
+    links = links.unionByName(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "likeness"))
+    return None if links.isEmpty() else (links, stash(components(links.select("a", "b"))))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -140,7 +229,7 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
-def classes(docs: DataFrame, sign: Signer = signatures.bag_minhash, counted: bool = True, least: float = LIKENESS, rows: int = ROWS, rounds: int = ROUNDS) -> DataFrame:
+def classes(docs: DataFrame, sign: Signer = signatures.bag_minhash, counted: bool = True, least: float = LIKENESS, rows: int = ROWS) -> DataFrame:
     """doc_id, node, class_id and n_links of every row.
 
     Texts of equal words are one node; nodes whose bags of five-word shingles (of all words, where there are fewer) have
@@ -162,34 +251,12 @@ def classes(docs: DataFrame, sign: Signer = signatures.bag_minhash, counted: boo
             good = np.flatnonzero(in_bitmap(wanted.value, flat.to_numpy(zero_copy_only=False).view(np.uint64)))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[good])), flat.take(pa.array(good))], ["node", "key"])
 
-    member = own.select("node", "bands").mapInArrow(maybe, "node binary, key long").distinct()
-    sized = member.join(member.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key")
-    member = stash(sized.join(sized.groupBy("node").agg(F.sum("size").alias("rank")), "node").select("key", "node", "rank"))
-    pairs = lambda met: met.where("lead != node").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
-    done = comps = links = bag = None
-    for turn in range(rounds if filled else 0):
-        chance = [F.min(F.struct(F.xxhash64("node", F.lit(turn * CHANCE + k)).alias("h"), "node")) for k in range(CHANCE)]
-        if comps is None:
-            lead = member.groupBy("key").agg(F.array(F.max(F.struct("rank", "node"))["node"], *(c["node"] for c in chance)).alias("leads"))
-            fresh = pairs(member.join(lead, "key").select("node", F.explode("leads").alias("lead")))
-        else:
-            at = member.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-            apart = at.groupBy("key").agg(F.min("comp").alias("p"), F.max("comp").alias("q"), F.max(F.struct("rank", "node", "comp")).alias("best"))
-            met = stash(at.join(apart.where("p != q").select("key", "best"), "key"))
-            chance = [F.min(F.struct(F.xxhash64("node", F.lit(turn * CHANCE + k)).alias("h"), "node", "comp")) for k in range(CHANCE)]
-            next_best = F.max(F.when(F.col("comp") != F.col("best.comp"), F.struct("rank", "node", "comp")))
-            lead = met.groupBy("key").agg(F.array(*(F.struct(c["node"].alias("node"), c["comp"].alias("comp")) for c in (F.max("best"), next_best, *chance))).alias("leads"))
-            both = met.join(lead, "key").select("node", "comp", F.explode("leads").alias("l"))
-            fresh = pairs(both.where(F.col("comp") != F.col("l.comp")).select("node", F.col("l.node").alias("lead"))).join(done, ["a", "b"], "left_anti")
-        fresh = stash(fresh)
-        done = fresh if done is None else done.unionByName(fresh)
-        if bag is None:
-            bag = stash(bags(docs, bitmap(_begin("node"), member, filled), counted))
-        good = stash(verified(fresh, bag, least))
-        if good.isEmpty():
-            break
-        links = good if links is None else links.unionByName(good)
-        comps = stash(components(links.select("a", "b")))
+    comps = links = None
+    if filled:
+        member = stash(own.select("node", "bands").mapInArrow(maybe, "node binary, key long").distinct())
+        data = stash(bags(docs, bitmap(_begin("node"), member, filled), counted).withColumnRenamed("bag", "data"))
+        if found := linked(member, data, bag_likeness(least), least):
+            links, comps = found
     if comps is None:
         comps = docs.sparkSession.createDataFrame([], "node binary, comp binary")
         links = docs.sparkSession.createDataFrame([], "a binary, b binary, likeness double")
