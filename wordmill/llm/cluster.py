@@ -7,7 +7,6 @@ import shutil
 import tempfile
 import uuid
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,29 +36,54 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stash(df: DataFrame) -> DataFrame:
-    """The rows, written once to the shared folder and read from there: a cut of lineage that outlives executors."""
-    path = f"{shared_dir(df.sparkSession)}/stash-{uuid.uuid4().hex}"
+    """The rows, written once to the shared folder and read from there: a cut of lineage that outlives executors.
+
+    The files go when the driver ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    context = spark.sparkContext
+    there = context._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(there)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each changed until no column has it, whatever the case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
 
+def row_key() -> Column:
+    """64 bits of doc_id and text, by which rows of documents are found again."""
+    return F.xxhash64("doc_id", "text")
 
-def bitmap(keys: Column | str, df: DataFrame, count: int, bits_a_key: int = 16, least: int = 1 << 18, most: int = 1 << 27) -> np.ndarray:
-    """A bit for each value of a long column of random hashes (its low bits), as at most `most` / 8 bytes whatever the count.
 
-    A set bit may be another key's: what passes is a superset, that later exact joins put right.
+def flagged(df: DataFrame, key: str, wanted: DataFrame, column: str, flag: str, how: str = "left", bits_a_key: int = 16, least: int = 1 << 18, most: int = 1 << 26) -> DataFrame:
+    """The rows and a boolean `flag` that is true wherever the hash `key` is among the hashes `column` of wanted.
+
+    It is true for few others, too, which an exact join puts right. What is broadcast is a bitmap of `bits_a_key` bits for
+    each wanted hash, or `most` bits if that is less: most / 64 rows of two longs at the utmost, whatever the tables hold.
+    `how` inner drops the other rows at once. `wanted` is counted, so it should be stored.
     """
-    size = least
+    size, count = least, wanted.count()
     while size < bits_a_key * count and size < most:
         size *= 2
-    key = F.col(keys) if isinstance(keys, str) else keys
-    at = key.bitwiseAND(F.lit(size - 1))
-    rows = df.select(F.shiftright(at, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    table = rows.toPandas()  # at most size / 64 rows of 16 bytes
-    out = np.zeros(size // 64, np.uint64)
-    out[table["w"].to_numpy(np.int64)] = table["b"].to_numpy(np.int64).view(np.uint64)
-    return out
-
-
-def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = hashes.astype(np.uint64) & np.uint64(64 * len(bits) - 1)
-    return (bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+    slot, bits = unused(df.columns, "slot", "bits")
+    place = lambda c: F.col(c).bitwiseAND(F.lit(size - 1))
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), place(c).bitwiseAND(F.lit(63)).cast("int"))
+    table = wanted.select(F.shiftright(place(column), 6).alias(slot), bit(column).alias(bits)).groupBy(slot).agg(F.bit_or(bits).alias(bits))
+    met = df.withColumn(slot, F.shiftright(place(key), 6)).join(F.broadcast(table), slot, how)
+    return met.withColumn(flag, F.coalesce(F.col(bits).bitwiseAND(bit(key)) != 0, F.lit(False))).drop(slot, bits)
+
+
+def possible(df: DataFrame, key: str, wanted: DataFrame, column: str) -> DataFrame:
+    """The rows whose hash `key` is among those of wanted, and few others; see flagged()."""
+    (flag,) = unused(df.columns, "flag")
+    return flagged(df, key, wanted, column, flag, "inner").where(flag).drop(flag)

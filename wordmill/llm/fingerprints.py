@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, places: int = PLACES) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, least: float = neardup.LIKENESS) -> DataFrame:
-    """doc_id, node, class_id, n_links: classes of texts whose sets of shingles have a Jaccard likeness of `least` or more."""
+    """doc_id, node, class_id: classes of texts whose sets of shingles have a Jaccard likeness of `least` or more."""
     return neardup.classes(docs, signatures.minhash, counted=False, least=least)
 
 

@@ -1,8 +1,8 @@
 """Near-duplicate texts: signatures banded in Spark, candidates verified on whole shingle bags or sets, classes by components.
 
-No bucket is ever gathered. In each large bucket all texts are held against a few, the most central (the one that shares
-most buckets with others) and some by chance; then every pair that is still in different classes is verified, blocks of
-texts against each other, so that the classes are those of all pairs that share a bucket.
+No bucket is ever gathered. In large buckets each text is first held against the most central text that it meets (the one
+that shares most buckets with others); then every pair of a bucket that is still in different classes is looked at, blocks
+of texts against each other, so that the classes are those of all alike pairs that share a bucket.
 """
 
 from __future__ import annotations
@@ -11,21 +11,24 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from wordmill.llm import signatures, vec
-from wordmill.llm.cluster import bitmap, in_bitmap, stash
+from wordmill.llm.cluster import flagged, possible, row_key, stash, unused
 
 SHINGLE, LIKENESS = 5, 0.8
-#: Places in a band: at a likeness of 0.8, 32 bands of 4 miss a pair once in 20 million.
-ROWS = 4
-#: Buckets of more nodes than SMALL are first held against a few: the most central and CHANCE taken by hash. Buckets of
-#: more than BLOCK nodes are dealt into blocks, of which every pair meets.
-SMALL, CHANCE, BLOCK = 16, 3, 512
+#: Standard errors below the likeness asked for from which two signatures exclude a pair: once in a thousand million pairs wrongly.
+ERRORS = 6
+#: Buckets of more nodes than SMALL are first held against central ones; those of more than BLOCK nodes are dealt into
+#: blocks, of which every pair meets that may hold texts of different classes. Texts of one star go to SALT tasks.
+SMALL, BLOCK, SALT = 16, 512, 16
 Signer = Callable[[np.ndarray, np.ndarray, int], np.ndarray]
+#: Likeness of pairs of data, below what is asked for (-1, say) where it is not worth computing.
+Check = Callable[[list[bytes], list[bytes]], np.ndarray]
+#: Made of the lists of keys of some nodes: which pairs (i, j) are to be verified in the bucket of a key. A pair that shares
+#: several keys is verified in one of their buckets only.
+Pairing = Callable[[pa.Array], Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]]
 
 
 def keys(hashes: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -41,14 +44,14 @@ def keys(hashes: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
     return out, some
 
 
-def _binary(key: np.ndarray, some: np.ndarray) -> pa.Array:
-    data = pa.py_buffer(np.ascontiguousarray(key).tobytes())
-    fixed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(key), [None, data])
-    return pc.if_else(pa.array(some), fixed.cast(pa.binary()), pa.scalar(None, pa.binary()))
+def binary(key: np.ndarray, some: np.ndarray) -> pa.Array:
+    """Keys as 16 bytes each, null where there is none."""
+    raw = np.ascontiguousarray(key).tobytes()
+    return pa.array([raw[16 * k : 16 * k + 16] if s else None for k, s in enumerate(some.tolist())], pa.binary())
 
 
-def nodes(docs: DataFrame, sign: Signer, rows: int = ROWS) -> DataFrame:
-    """doc_id, node (128 bits of its words; null without words), the node's first 64 bits and the text's band keys."""
+def nodes(docs: DataFrame, sign: Signer) -> DataFrame:
+    """doc_id, row (row_key()), node (128 bits of the text's words; null without words) and the text's band keys."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,35 +59,27 @@ def nodes(docs: DataFrame, sign: Signer, rows: int = ROWS) -> DataFrame:
             for lo, hi, points, offsets in vec.steps(batch.column(1)):
                 _, _, doc, hashes = vec.words(points, offsets)
                 key, some = keys(hashes, doc, hi - lo)
-                band = signatures.bands(sign(*vec.shingles(hashes, doc, SHINGLE), hi - lo), rows)
+                band = signatures.band_keys(sign(*vec.shingles(hashes, doc, SHINGLE), hi - lo))
                 lists = vec.ragged(band.reshape(-1).view(np.int64), np.full(hi - lo, band.shape[1]), pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], _binary(key, some), pa.array(key[:, 0].view(np.int64)), lists], ["doc_id", "node", "low", "bands"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node binary, low long, bands array<long>")
-
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(2)[lo:hi], binary(key, some), lists], ["doc_id", "row", "node", "keys"])
 
-def _begin(node: str) -> Column:
-    """The first 32 bits of a node, as in_bitmap() gets them from _first()."""
-    return F.conv(F.hex(F.substring(node, 1, 4)), 16, 10).cast("long")
+    return docs.select("doc_id", "text", row_key().alias("row")).mapInArrow(run, f"doc_id {kind}, row long, node binary, keys array<long>")
 
 
-def _first(key: np.ndarray) -> np.ndarray:
-    return key[:, 0].astype(np.uint32).byteswap()
+def bags(docs: DataFrame, signed: DataFrame, wanted: DataFrame, counted: bool) -> DataFrame:
+    """node and data of wanted nodes (and few others): 32-bit marks of the text's shingles, sorted, repeats apart if they are counted.
 
-
-def bags(docs: DataFrame, wanted: np.ndarray, counted: bool) -> DataFrame:
-    """node and bag of the texts in a bitmap of nodes: 32-bit marks of shingles, sorted, repeats apart if they are counted."""
-
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+    Only rows that hold a wanted node go to Python, one of each node if no two rows are equal.
+    """
+    one = stash(signed.join(wanted, "node").groupBy("node").agg(F.min("row").alias("row")).select("row"))
+    some = possible(docs.select("text", row_key().alias("row")), "row", one, "row").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, points, offsets in vec.steps(batch.column(0)):
                 _, _, doc, hashes = vec.words(points, offsets)
                 key, some = keys(hashes, doc, hi - lo)
-                some &= in_bitmap(shared.value, _first(key))
-                here = some[doc]
-                h, own, count = signatures.weights(*vec.shingles(hashes[here], doc[here], SHINGLE))
+                h, own, count = signatures.weights(*vec.shingles(hashes, doc, SHINGLE))
                 if counted and (count > 1).any():
                     own, nth = np.repeat(own, count), np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                     h = vec.mix(np.repeat(h, count) + nth.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
@@ -93,9 +88,9 @@ def bags(docs: DataFrame, wanted: np.ndarray, counted: bool) -> DataFrame:
                 size = np.bincount(own, minlength=hi - lo)[some]
                 ends = np.cumsum(size).astype(np.int32) * 4
                 data = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(marks.tobytes())])
-                yield pa.RecordBatch.from_arrays([_binary(key[some], np.ones(len(size), bool)), data], ["node", "bag"])
+                yield pa.RecordBatch.from_arrays([binary(key[some], np.ones(len(size), bool)), data], ["node", "data"])
 
-    return docs.select("text").mapInArrow(run, "node binary, bag binary").groupBy("node").agg(F.first("bag").alias("bag"))
+    return some.mapInArrow(run, "node binary, data binary").groupBy("node").agg(F.first("data").alias("data"))
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -106,9 +101,6 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return same / max(1, len(both) - same)
 
 
-Check = Callable[[list[bytes], list[bytes]], np.ndarray]
-
-
 def bag_likeness(least: float) -> Check:
     """likeness() of pairs of bags; -1 where their sizes alone put it below `least`."""
 
@@ -122,16 +114,34 @@ def bag_likeness(least: float) -> Check:
     return check
 
 
-def verified(pairs: DataFrame, data: DataFrame, check: Check, least: float) -> DataFrame:
-    """Of pairs (a, b) those that check() finds alike enough by their data (node, data), with the likeness."""
+def by_signature(least: float, errors: float = ERRORS) -> Pairing:
+    """Pairs in the bucket of their first common band whose signatures don't put their likeness `errors` standard errors below `least`."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = check(batch.column(2).to_pylist(), batch.column(3).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.float64())], ["a", "b", "likeness"]).filter(pa.array(x >= least, pa.bool_()))
+    def prepare(lists: pa.Array) -> Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+        band = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(lists), -1)
+        place = signatures.places(band)
+        need = place.shape[1] * least - errors * np.sqrt(place.shape[1] * least * (1 - least))
 
-    left, right = data.select(F.col("node").alias("a"), F.col("data").alias("x")), data.select(F.col("node").alias("b"), F.col("data").alias("y"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary, likeness double")
+        def good(i: np.ndarray, j: np.ndarray, key: np.ndarray) -> np.ndarray:
+            out = np.zeros(len(i), bool)
+            for lo in range(0, len(i), 8192):
+                a, b = i[lo : lo + 8192], j[lo : lo + 8192]
+                same = band[a] == band[b]
+                first = same.argmax(axis=1)
+                met = same[np.arange(len(a)), first] & (band[a, first].view(np.int64) == key[lo : lo + 8192])
+                met[met] = (place[a[met]] == place[b[met]]).sum(axis=1) >= need
+                out[lo : lo + 8192] = met
+            return out
+
+        return good
+
+    return prepare
+
+
+def by_least_key(lists: pa.Array) -> Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """Pairs in the bucket of their least common key."""
+    of = [frozenset(k) for k in lists.to_pylist()]
+    return lambda i, j, key: np.array([min(of[x] & of[y], default=None) == k for x, y, k in zip(i.tolist(), j.tolist(), key.tolist(), strict=True)], bool)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.Table]:
@@ -145,81 +155,148 @@ def _groups(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.
             if len(before := np.flatnonzero(group != group[-1])):
                 yield table.slice(0, int(before[-1]) + 1)
                 parts = table.slice(int(before[-1]) + 1).combine_chunks().to_batches()
-    if parts:
+    if parts and sum(p.num_rows for p in parts):
         yield pa.Table.from_batches(parts)
 
 
-def _across(groups: Iterator[pa.Table], check: Check, least: float) -> Iterator[pa.RecordBatch]:
-    """Links (a, b, likeness) of each group's pairs of different comps; see linked(). What is linked on the way is one comp."""
+def _meetings(table: pa.Table, comp: np.ndarray, pairing: Pairing) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of rows of one group whose comps differ when it is their turn, that pairing() takes."""
+    group, key, side = (table[c].to_numpy() for c in ("group", "key", "side"))
+    good = pairing(table["keys"].combine_chunks())
+    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    size = np.diff(np.append(first, len(group)))
+    left = np.repeat(size, size) - (np.arange(len(group)) - np.repeat(first, size))
+    for shift in range(1, int(size.max())):
+        i = np.flatnonzero(left > shift)
+        j = i + shift
+        some = (comp[i] != comp[j]) & ((side[i] < 0) | (side[i] != side[j]))
+        i, j = i[some], j[some]
+        some = good(i, j, key[i]) if len(i) else np.zeros(0, bool)
+        if some.any():
+            yield i[some], j[some]
+
+
+def _numbers(table: pa.Table) -> np.ndarray:
+    return table["comp"].combine_chunks().dictionary_encode().indices.to_numpy().copy()
+
+
+def _suspects(groups: Iterator[pa.Table], pairing: Pairing) -> Iterator[pa.RecordBatch]:
+    """The rows of nodes that have something to verify in their group."""
+    for table in groups:
+        seen = np.zeros(table.num_rows, bool)
+        for i, j in _meetings(table, _numbers(table), pairing):
+            seen[i] = seen[j] = True
+        yield from table.filter(pa.array(seen)).to_batches()
+
+
+def _across(groups: Iterator[pa.Table], pairing: Pairing, check: Check, least: float) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) between the comps of verified pairs. What is linked on the way is one comp for the rest of the group."""
     for table in groups:
-        group, key, side = (table[c].to_numpy() for c in ("group", "key", "side"))
-        of, data, node = table["keys"].to_pylist(), table["data"].to_pylist(), table["node"].combine_chunks()
-        of = [frozenset(k) for k in of]
-        comp = table["comp"].combine_chunks().dictionary_encode().indices.to_numpy().copy()
-        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        size = np.diff(np.append(first, len(group)))
-        left = np.repeat(size, size) - (np.arange(len(group)) - np.repeat(first, size))
-        for shift in range(1, int(size.max())):
-            i = np.flatnonzero(left > shift)
-            j = i + shift
-            good = (comp[i] != comp[j]) & ((side[i] < 0) | (side[i] != side[j]))
-            i, j = i[good], j[good]
-            good = np.array([min(of[x] & of[y]) == key[x] for x, y in zip(i.tolist(), j.tolist(), strict=True)], bool)
-            i, j = i[good], j[good]
-            if len(i):
-                x = check([data[k] for k in i.tolist()], [data[k] for k in j.tolist()])
-                some = np.flatnonzero(x >= least)
-                if len(some):
-                    yield pa.RecordBatch.from_arrays([node.take(pa.array(i[some])), node.take(pa.array(j[some])), pa.array(x[some])], ["a", "b", "likeness"])
-                    for k in some.tolist():
-                        comp[comp == comp[j[k]]] = comp[i[k]]
-
-
-def linked(member: DataFrame, data: DataFrame, check: Check, least: float) -> tuple[DataFrame, DataFrame] | None:
-    """Links (a, b, likeness) and their components (node, comp), or None, of nodes that share a key (key, node).
-
-    The links connect whatever the verified pairs of all keys connect. First the nodes of each large bucket are held
-    against its most central one and CHANCE others taken by hash, others for each bucket; most are one component then.
-    After that every pair of a bucket whose nodes are still in different components is verified, without exception: a
-    bucket is dealt into blocks of about BLOCK nodes, and each pair of blocks is a group of rows of its own. A pair that
-    meets in several buckets is verified in that of its least key.
+        data, comp, name = table["data"].to_pylist(), _numbers(table), table["comp"].combine_chunks()
+        for i, j in _meetings(table, comp, pairing):
+            some = np.flatnonzero(check([data[k] for k in i.tolist()], [data[k] for k in j.tolist()]) >= least)
+            if len(some):
+                yield pa.RecordBatch.from_arrays([name.take(pa.array(i[some])), name.take(pa.array(j[some]))], ["a", "b"])
+                for k in some.tolist():
+                    comp[comp == comp[j[k]]] = comp[i[k]]
+
+
+def _stars(member: DataFrame, sizes: DataFrame, data_of: Callable[[DataFrame], DataFrame], check: Check, least: float) -> DataFrame | None:
+    """Components (node, comp) of verified links between the nodes of large buckets and the most central node that each meets."""
+    large = stash(sizes.where(F.col("size") > SMALL))
+    if large.isEmpty():
+        return None
+    big = stash(possible(member, "key", large, "key").join(large, "key").select("key", "node", "size"))
+    rank = stash(big.groupBy("node").agg(F.sum("size").alias("rank")))
+    lead = stash(big.join(rank, "node").groupBy("key").agg(F.max(F.struct("rank", "node")).alias("lead")))
+    best = big.join(lead, "key").groupBy("node").agg(F.max("lead").alias("lead"))
+    pairs = best.select("node", F.col("lead.node").alias("lead"), F.pmod(F.xxhash64("node"), F.lit(SALT)).alias("salt")).where("node != lead")
+    pairs = stash(pairs)
+    data = stash(data_of(stash(pairs.select("node").unionByName(pairs.select(F.col("lead").alias("node"))).distinct())))
+    central = pairs.select("lead", "salt").distinct().join(data.select(F.col("node").alias("lead"), F.col("data").alias("y")), "lead")
+    met = pairs.join(data.select("node", F.col("data").alias("x")), "node").join(central, ["lead", "salt"]).select("node", "lead", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = check(batch.column(2).to_pylist(), batch.column(3).to_pylist()) >= least
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    links = stash(met.mapInArrow(run, "a binary, b binary"))
+    return None if links.isEmpty() else stash(components(links))
+
+
+def _dealt(at: DataFrame) -> DataFrame:
+    """group, key, node, comp, side of the rows (key, node, comp, size) of buckets: rows of a group meet, but for those of one side of 0 or more.
+
+    A bucket of up to BLOCK nodes is one group. In a larger one the nodes of its largest comp don't meet each other, so they
+    are dealt into blocks that each meet the blocks of the other nodes; those meet among themselves, too.
+    """
+    small = at.where(F.col("size") <= BLOCK).select(F.xxhash64("key").alias("group"), "key", "node", "comp", F.lit(-1).alias("side"))
+    large = at.where(F.col("size") > BLOCK)
+    each = large.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    main = stash(each.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("all")))
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
+    rows = large.join(main.select("key", F.col("m.comp").alias("main"), blocks(F.col("m.n")).alias("bm"), blocks(F.col("all") - F.col("m.n")).alias("bo")), "key")
+    rows = rows.withColumn("inner", F.col("comp") == F.col("main")).withColumn("own", F.pmod(F.xxhash64("node", F.lit(-1)), F.when(F.col("inner"), F.col("bm")).otherwise(F.col("bo"))).cast("int"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    cell = lambda kind, a, b, side: F.struct(F.xxhash64("key", F.lit(kind), a, b).alias("group"), side.cast("int").alias("side"))
+    own = F.col("own")
+    with_others = F.transform(upto("bo"), lambda o: cell(1, own, o, F.lit(0)))
+    with_main = F.transform(upto("bm"), lambda m: cell(1, m, own, F.lit(1)))
+    each_other = F.transform(upto("bo"), lambda o: cell(2, F.least(own, o), F.greatest(own, o), F.when(o == own, -1).otherwise(own)))
+    rows = rows.withColumn("cell", F.explode(F.when(F.col("inner"), with_others).otherwise(F.concat(with_main, each_other))))
+    return small.unionByName(rows.select(F.col("cell.group").alias("group"), "key", "node", "comp", F.col("cell.side").alias("side")))
+
+
+def linked(signed: DataFrame, data_of: Callable[[DataFrame], DataFrame], pairing: Pairing, check: Check, least: float, sift: bool = False) -> DataFrame | None:
+    """Components (node, comp), or None, that the verified pairs of nodes sharing a key connect; signed: node, keys (a node's rows are equal).
+
+    First the nodes of large buckets are held against central ones; most are one component then. After that every pair of
+    a bucket whose nodes are still in different components is looked at, without exception, once for all buckets that it
+    shares. `data_of` gives (node, data) of a table of nodes; with `sift` it is asked only for the nodes of pairs that
+    pairing() takes.
     """
-    sized = member.join(member.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key")
-    member = stash(sized.join(sized.groupBy("node").agg(F.sum("size").alias("rank")), "node").select("key", "node", "rank", "size"))
-    large = member.where(F.col("size") > SMALL)
-    chance = [F.min(F.struct(F.xxhash64("node", "key", F.lit(k)).alias("h"), "node"))["node"] for k in range(CHANCE)]
-    lead = large.groupBy("key").agg(F.array(F.max(F.struct("rank", "node"))["node"], *chance).alias("leads"))
-    met = large.join(lead, "key").select("node", F.explode("leads").alias("lead")).where("lead != node")
-    links = stash(verified(met.select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct(), data, check, least))
-    at = member.withColumn("comp", F.col("node"))
-    if not links.isEmpty():
-        at = member.join(stash(components(links.select("a", "b"))), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        at = stash(at)
-    apart = at.groupBy("key").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).where("p != q").select("key")
-    at = stash(at.join(apart, "key").select("key", "node", "comp", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
-    keyed = at.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys"))
-    at = at.withColumn("own", F.pmod(F.xxhash64("node", F.lit(-1)), F.col("blocks")).cast("int"))
-    at = at.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    at = at.select("key", "node", "comp", F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("side"), F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("group"))
-    rows = at.join(keyed.join(data, "node"), "node").select("group", "key", "node", "comp", "side", "keys", "data")
-    rows = rows.repartition(int(member.sparkSession.conf.get("spark.sql.shuffle.partitions")), "group").sortWithinPartitions("group", "key", "node")
-    rest = stash(rows.mapInArrow(lambda batches: _across(_groups(batches), check, least), "a binary, b binary, likeness double"))
-    links = links.unionByName(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "likeness"))
-    return None if links.isEmpty() else (links, stash(components(links.select("a", "b"))))
+    each = signed.select("node", F.explode("keys").alias("key"))
+    tagged = each.select("key", F.hash("node").alias("tag"))
+    shared = stash(tagged.groupBy("key").agg(F.min("tag").alias("p"), F.max("tag").alias("q")).where("p != q").select("key"))
+    member = stash(possible(each, "key", shared, "key").select("key", "node").distinct())
+    sizes = stash(member.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
+    first = _stars(member, sizes, data_of, check, least)
+    at = member.join(first, "node", "left").withColumn("comp", F.coalesce("comp", "node")) if first else member.withColumn("comp", F.col("node"))
+    apart = at.groupBy("key").agg(F.min(F.hash("comp")).alias("p"), F.max(F.hash("comp")).alias("q")).where("p != q").select("key")
+    rows = stash(_dealt(stash(at.join(stash(sizes.join(apart, "key").select("key", "size")), "key").select("key", "node", "comp", "size"))))
+    dealt = int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    together = lambda d: d.repartition(dealt, "group").sortWithinPartitions("group", "node")
+    names = rows.select("node").distinct()
+    rows = rows.join(signed.join(names, "node").groupBy("node").agg(F.first("keys").alias("keys")), "node").select("group", "key", "node", "comp", "side", "keys")
+    if sift:
+        rows = stash(together(rows).mapInArrow(lambda batches: _suspects(_groups(batches), pairing), rows.schema))
+        names = rows.select("node").distinct()
+    met = together(rows.join(data_of(stash(names)), "node").select("group", "key", "node", "comp", "side", "keys", "data"))
+    links = stash(met.mapInArrow(lambda batches: _across(_groups(batches), pairing, check, least), "a binary, b binary"))
+    if links.isEmpty():
+        return first
+    second = stash(components(links))
+    if first is None:
+        return second
+    every = first.unionByName(second.select("node", F.col("node").alias("comp")).join(first, "node", "left_anti"))
+    above = second.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+    return stash(stash(every).join(above, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node and comp, the least node of its component, for all nodes of edges (a, b).
 
     Large star and small star in turn (Kiveris and others, 2014) until all trees are stars: O(log n) rounds of group-bys
-    with partial aggregation and joins; no neighbourhood is gathered.
+    with partial aggregation and joins; no neighbourhood is gathered. What is joined was stored, so that adaptive
+    execution can split the rows of a hub.
     """
     now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v")
     while True:
         both = now.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        least = stash(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
         down = stash(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
+        least = stash(down.groupBy("u").agg(F.min("v").alias("m")))
         now = stash(down.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u != v").distinct())
         # a forest of stars: no node is both a root and below one, and every node has one root
         ends = now.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("n")), F.struct(F.col("v").alias("node"), F.lit(1 << 20).alias("n")))).alias("e"))
@@ -229,71 +306,52 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
-def classes(docs: DataFrame, sign: Signer = signatures.bag_minhash, counted: bool = True, least: float = LIKENESS, rows: int = ROWS) -> DataFrame:
-    """doc_id, node, class_id and n_links of every row.
+def found_classes(docs: DataFrame, sign: Signer, counted: bool, least: float) -> tuple[DataFrame, DataFrame]:
+    """doc_id, row, node of all rows; and node, comp of those nodes that several rows have or that links connect."""
+    signed = stash(nodes(docs, sign))
+    own = signed.where(F.col("node").isNotNull())
+    comps = linked(own, lambda wanted: bags(docs, own, wanted, counted), by_signature(least), bag_likeness(least), least, sift=True)
+    several = own.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node")
+    if comps is None:
+        return signed, stash(several.select("node", F.col("node").alias("comp")))
+    return signed, stash(several.join(comps, "node", "full").select("node", F.coalesce("comp", "node").alias("comp")))
+
+
+def classes(docs: DataFrame, sign: Signer = signatures.bag_minhash, counted: bool = True, least: float = LIKENESS) -> DataFrame:
+    """doc_id, node and class_id of every row.
 
     Texts of equal words are one node; nodes whose bags of five-word shingles (of all words, where there are fewer) have
-    a likeness of `least` or more are linked, and class_id is the least doc_id of the nodes that links connect. n_links
-    counts a node's verified links. Null and empty texts and texts without words have no node: each row is a class of
-    its own (class_id is its doc_id). Repeated rows share a class; null doc_ids are never the least unless alone.
+    a likeness of `least` or more are linked, and class_id is the least doc_id of the nodes that links connect. Null and
+    empty texts and texts without words have no node: each row is a class of its own (class_id is its doc_id). Repeated
+    rows share a class; null doc_ids are never the least unless alone. An empty table gives none. Only doc_id and text
+    are read, so no other column can clash.
     """
-    signed = stash(nodes(docs, sign, rows))
-    own = signed.where(F.col("node").isNotNull())
-    met = own.select("low", F.explode("bands").alias("key")).groupBy("key").agg(F.min("low").alias("p"), F.max("low").alias("q")).where("p != q")
-    shared = stash(met.select("key"))
-    filled = shared.count()
-    wanted = docs.sparkSession.sparkContext.broadcast(bitmap("key", shared, filled))
-
-    def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(1)
-            flat, row = lists.flatten(), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
-            good = np.flatnonzero(in_bitmap(wanted.value, flat.to_numpy(zero_copy_only=False).view(np.uint64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[good])), flat.take(pa.array(good))], ["node", "key"])
-
-    comps = links = None
-    if filled:
-        member = stash(own.select("node", "bands").mapInArrow(maybe, "node binary, key long").distinct())
-        data = stash(bags(docs, bitmap(_begin("node"), member, filled), counted).withColumnRenamed("bag", "data"))
-        if found := linked(member, data, bag_likeness(least), least):
-            links, comps = found
-    if comps is None:
-        comps = docs.sparkSession.createDataFrame([], "node binary, comp binary")
-        links = docs.sparkSession.createDataFrame([], "a binary, b binary, likeness double")
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    ids = own.groupBy("node").agg(F.min("doc_id").alias("least"))
-    named = ids.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    of = named.groupBy("comp").agg(F.min("least").alias("class_id"))
-    table = stash(named.join(of, "comp").join(degree, "node", "left").select("node", "comp", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links")))
-    with_words = own.select("doc_id", "node").join(table, "node").select("doc_id", "node", "comp", "class_id", "n_links")
-    without = signed.where(F.col("node").isNull()).select("doc_id", "node", F.col("node").alias("comp"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return with_words.unionByName(without)
+    signed, comps = found_classes(docs, sign, counted, least)
+    rows = stash(signed.select("doc_id", "node").join(comps, "node", "left"))
+    of = stash(rows.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("class_id")))
+    alone = rows.where("comp IS NULL").select("doc_id", "node", F.col("doc_id").alias("class_id"))
+    return rows.where("comp IS NOT NULL").join(of, "comp").select("doc_id", "node", "class_id").unionByName(alone)
 
 
 def keep_one(docs: DataFrame, sign: Signer = signatures.bag_minhash, counted: bool = True, least: float = LIKENESS) -> DataFrame:
-    """Of each class one row, with all its columns: the one of least doc_id (then of least node; of equal rows, one).
+    """Of each class one row, with all its columns: the one of least doc_id (null last; of several the least row_key(); of equal rows, one).
 
     Rows without words are all kept: nothing tells whether they are alike.
     """
-    found = classes(docs, sign, counted, least)
-    best = found.where(F.col("comp").isNotNull()).groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("best"))
-    best = best.select(F.col("best.node").alias("__node"), F.col("best.doc_id").alias("__id"))
-    at, names = docs.columns.index("text"), docs.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = []
-            for lo, hi, points, offsets in vec.steps(batch.column(at)):
-                _, _, doc, hashes = vec.words(points, offsets)
-                parts.append(_binary(*keys(hashes, doc, hi - lo)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.concat_arrays(parts) if parts else pa.array([], pa.binary())], [*names, "__node"])
-
-    keyed = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__node", T.BinaryType())]))
-    one = keyed.join(best, "__node").where(F.col("doc_id").eqNullSafe(F.col("__id")))
-    return one.dropDuplicates(["__node", "doc_id"]).select(*names).unionByName(keyed.where(F.col("__node").isNull()).select(*names))
+    signed, comps = found_classes(docs, sign, counted, least)
+    rows = stash(signed.select("doc_id", "row", "node").join(comps, "node").select("doc_id", "row", "comp").distinct())
+    best = stash(rows.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best")))
+    told = rows.join(best, "comp").select("doc_id", "row", (F.col("best.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("best.row") == F.col("row"))).alias("kept"))
+    told = stash(told)
+    names = docs.columns
+    row, flag, same, kept = unused([*names, "doc_id", "row"], "the_row", "flag", "same", "kept")
+    marked = flagged(docs.withColumn(row, row_key()), row, told, "row", flag)
+    told = told.select(F.col("doc_id").alias(same), F.col("row").alias(row), F.col("kept").alias(kept))
+    met = marked.where(flag).join(told, (marked[row] == told[row]) & marked["doc_id"].eqNullSafe(told[same]), "left").drop(told[row])
+    once = met.where(F.col(kept)).dropDuplicates(["doc_id", row])
+    return marked.where(~F.col(flag)).select(*names).unionByName(met.where(F.col(kept).isNull()).select(*names)).unionByName(once.select(*names))
 
 
 def op8_bagminhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = classes(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return found.select("doc_id", "class_id", "n_links")
-
+    """doc_id and class_id of every document; see classes() for what nulls, empty texts and repeats give."""
+    return classes(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", "class_id")

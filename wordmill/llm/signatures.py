@@ -7,6 +7,8 @@ import numpy as np
 from wordmill.llm import vec
 
 PLACES = 128
+#: Places in a band of a text: at a likeness of 0.8, 32 bands of 4 miss a pair once in 20 million.
+ROWS = 4
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -106,3 +108,16 @@ def bands(marks: np.ndarray, rows: int) -> np.ndarray:
     for k in range(rows):
         out = vec.mix(out * _STEP + parts[:, :, k])
     return out
+
+
+def band_keys(marks: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each run of ROWS places, of 16 bits of each; places() reads them again."""
+    n, count = marks.shape
+    packed = np.ascontiguousarray(marks.astype("<u2")).view("<u8").reshape(n, count // ROWS).astype(np.uint64)
+    return vec.mix(packed + np.arange(1, count // ROWS + 1, dtype=np.uint64) * _STEP)
+
+
+def places(keys: np.ndarray) -> np.ndarray:
+    """The 16 bits of every place, of rows of band_keys()."""
+    packed = vec.unmix(keys) - np.arange(1, keys.shape[1] + 1, dtype=np.uint64) * _STEP
+    return np.ascontiguousarray(packed.astype("<u8")).view("<u2").reshape(len(keys), -1)

@@ -28,6 +28,15 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def unmix(h: np.ndarray) -> np.ndarray:
+    """What mix() made h of."""
+    h = h ^ (h >> np.uint64(31)) ^ (h >> np.uint64(62))
+    h = h * np.uint64(pow(0x94D049BB133111EB, -1, 1 << 64))
+    h ^= (h >> np.uint64(27)) ^ (h >> np.uint64(54))
+    h = h * np.uint64(pow(0xBF58476D1CE4E5B9, -1, 1 << 64))
+    return h ^ (h >> np.uint64(30)) ^ (h >> np.uint64(60))
+
+
 @functools.cache
 def classes() -> np.ndarray:
     """The class of every code point, as uint8."""
@@ -149,7 +158,8 @@ def words(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         at = offsets[1:][offsets[1:] > 0] - 1
         last[at] = inside[at]
     ends = np.flatnonzero(last) + 1
-    return starts, ends, np.searchsorted(offsets, starts, "right") - 1, segment_hashes(values, starts, ends)
+    own = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(starts, offsets)))
+    return starts, ends, own, segment_hashes(values, starts, ends)
 
 
 def shingles(hashes: np.ndarray, doc: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
