@@ -26,9 +26,9 @@ SMALL, BLOCK, SALT = 16, 512, 16
 Signer = Callable[[np.ndarray, np.ndarray, int], np.ndarray]
 #: Likeness of pairs of data, below what is asked for (-1, say) where it is not worth computing.
 Check = Callable[[list[bytes], list[bytes]], np.ndarray]
-#: Made of the lists of keys of some nodes: which pairs (i, j) are to be verified in the bucket of a key. A pair that shares
-#: several keys is verified in one of their buckets only.
-Pairing = Callable[[pa.Array], Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]]
+#: Made of the sketches of some nodes: which pairs (i, j) are to be verified in the bucket of a key. It says no to pairs that
+#: can't be alike and, unless `anywhere`, to pairs that another of their buckets sees to.
+Pairing = Callable[..., Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]]
 
 
 def keys(hashes: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +117,7 @@ def bag_likeness(least: float) -> Check:
 def by_signature(least: float, errors: float = ERRORS) -> Pairing:
     """Pairs in the bucket of their first common band whose signatures don't put their likeness `errors` standard errors below `least`."""
 
-    def prepare(lists: pa.Array) -> Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    def prepare(lists: pa.Array, anywhere: bool = False) -> Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
         band = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(lists), -1)
         place = signatures.places(band)
         need = place.shape[1] * least - errors * np.sqrt(place.shape[1] * least * (1 - least))
@@ -128,7 +128,7 @@ def by_signature(least: float, errors: float = ERRORS) -> Pairing:
                 a, b = i[lo : lo + 8192], j[lo : lo + 8192]
                 same = band[a] == band[b]
                 first = same.argmax(axis=1)
-                met = same[np.arange(len(a)), first] & (band[a, first].view(np.int64) == key[lo : lo + 8192])
+                met = same[np.arange(len(a)), first] & (anywhere | (band[a, first].view(np.int64) == key[lo : lo + 8192]))
                 met[met] = (place[a[met]] == place[b[met]]).sum(axis=1) >= need
                 out[lo : lo + 8192] = met
             return out
@@ -138,12 +138,6 @@ def by_signature(least: float, errors: float = ERRORS) -> Pairing:
     return prepare
 
 
-def by_least_key(lists: pa.Array) -> Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
-    """Pairs in the bucket of their least common key."""
-    of = [frozenset(k) for k in lists.to_pylist()]
-    return lambda i, j, key: np.array([min(of[x] & of[y], default=None) == k for x, y, k in zip(i.tolist(), j.tolist(), key.tolist(), strict=True)], bool)
-
-
 def _groups(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.Table]:
     """Runs of whole groups (equal values of the first column) of `rows` rows or, where a group ends later, more."""
     parts: list[pa.RecordBatch] = []
@@ -162,7 +156,7 @@ def _groups(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.
 def _meetings(table: pa.Table, comp: np.ndarray, pairing: Pairing) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (i, j) of rows of one group whose comps differ when it is their turn, that pairing() takes."""
     group, key, side = (table[c].to_numpy() for c in ("group", "key", "side"))
-    good = pairing(table["keys"].combine_chunks())
+    good = pairing(table["sketch"].combine_chunks())
     first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     size = np.diff(np.append(first, len(group)))
     left = np.repeat(size, size) - (np.arange(len(group)) - np.repeat(first, size))
@@ -201,7 +195,7 @@ def _across(groups: Iterator[pa.Table], pairing: Pairing, check: Check, least: f
                     comp[comp == comp[j[k]]] = comp[i[k]]
 
 
-def _stars(member: DataFrame, sizes: DataFrame, data_of: Callable[[DataFrame], DataFrame], check: Check, least: float) -> DataFrame | None:
+def _stars(member: DataFrame, sizes: DataFrame, sketch: DataFrame, data_of: Callable[[DataFrame], DataFrame], pairing: Pairing, check: Check, least: float) -> DataFrame | None:
     """Components (node, comp) of verified links between the nodes of large buckets and the most central node that each meets."""
     large = stash(sizes.where(F.col("size") > SMALL))
     if large.isEmpty():
@@ -209,19 +203,30 @@ def _stars(member: DataFrame, sizes: DataFrame, data_of: Callable[[DataFrame], D
     big = stash(possible(member, "key", large, "key").join(large, "key").select("key", "node", "size"))
     rank = stash(big.groupBy("node").agg(F.sum("size").alias("rank")))
     lead = stash(big.join(rank, "node").groupBy("key").agg(F.max(F.struct("rank", "node")).alias("lead")))
-    best = big.join(lead, "key").groupBy("node").agg(F.max("lead").alias("lead"))
-    pairs = best.select("node", F.col("lead.node").alias("lead"), F.pmod(F.xxhash64("node"), F.lit(SALT)).alias("salt")).where("node != lead")
-    pairs = stash(pairs)
+    best = big.join(lead, "key").groupBy("node").agg(F.max(F.struct("lead", "key")).alias("best"))
+    pairs = best.select("node", F.col("best.lead.node").alias("lead"), F.col("best.key").alias("key"), F.pmod(F.xxhash64("node"), F.lit(SALT)).alias("salt"))
+    pairs = stash(pairs.where("node != lead"))
+
+    def beside(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+        """The pairs with a column of the table of nodes for either: x of the node, y of the central one."""
+        central = pairs.select("lead", "salt").distinct().join(table.select(F.col("node").alias("lead"), F.col(column).alias("y")), "lead")
+        return pairs.join(table.select("node", F.col(column).alias("x")), "node").join(central, ["lead", "salt"])
+
+    def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            good = pairing(pa.concat_arrays([batch["x"], batch["y"]]), True)(np.arange(n), n + np.arange(n), batch["key"].to_numpy())
+            yield batch.select(["node", "lead", "key", "salt"]).filter(pa.array(good))
+
+    pairs = stash(beside(pairs, sketch, "sketch").select("node", "lead", "key", "salt", "x", "y").mapInArrow(may, pairs.schema))
     data = stash(data_of(stash(pairs.select("node").unionByName(pairs.select(F.col("lead").alias("node"))).distinct())))
-    central = pairs.select("lead", "salt").distinct().join(data.select(F.col("node").alias("lead"), F.col("data").alias("y")), "lead")
-    met = pairs.join(data.select("node", F.col("data").alias("x")), "node").join(central, ["lead", "salt"]).select("node", "lead", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = check(batch.column(2).to_pylist(), batch.column(3).to_pylist()) >= least
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+            good = check(batch["x"].to_pylist(), batch["y"].to_pylist()) >= least
+            yield pa.RecordBatch.from_arrays([batch["node"], batch["lead"]], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    links = stash(met.mapInArrow(run, "a binary, b binary"))
+    links = stash(beside(pairs, data, "data").select("node", "lead", "x", "y").mapInArrow(run, "a binary, b binary"))
     return None if links.isEmpty() else stash(components(links))
 
 
@@ -248,31 +253,32 @@ def _dealt(at: DataFrame) -> DataFrame:
     return small.unionByName(rows.select(F.col("cell.group").alias("group"), "key", "node", "comp", F.col("cell.side").alias("side")))
 
 
-def linked(signed: DataFrame, data_of: Callable[[DataFrame], DataFrame], pairing: Pairing, check: Check, least: float, sift: bool = False) -> DataFrame | None:
-    """Components (node, comp), or None, that the verified pairs of nodes sharing a key connect; signed: node, keys (a node's rows are equal).
+def linked(signed: DataFrame, data_of: Callable[[DataFrame], DataFrame], pairing: Pairing, check: Check, least: float) -> DataFrame | None:
+    """Components (node, comp), or None, that the verified pairs of nodes sharing a key connect.
 
-    First the nodes of large buckets are held against central ones; most are one component then. After that every pair of
-    a bucket whose nodes are still in different components is looked at, without exception, once for all buckets that it
-    shares. `data_of` gives (node, data) of a table of nodes; with `sift` it is asked only for the nodes of pairs that
-    pairing() takes.
+    signed has node, keys and sketch; a node may have several rows, all equal. First the nodes of large buckets are held
+    against central ones; most alike ones are one component then. After that every pair of a bucket whose nodes are still
+    in different components is looked at, without exception: pairing() takes or excludes it by the sketches, and
+    data_of() is asked for (node, data) of the nodes of pairs that are left, which check() verifies.
     """
     each = signed.select("node", F.explode("keys").alias("key"))
     tagged = each.select("key", F.hash("node").alias("tag"))
     shared = stash(tagged.groupBy("key").agg(F.min("tag").alias("p"), F.max("tag").alias("q")).where("p != q").select("key"))
     member = stash(possible(each, "key", shared, "key").select("key", "node").distinct())
     sizes = stash(member.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
-    first = _stars(member, sizes, data_of, check, least)
+    names = stash(member.select("node", F.xxhash64("node").alias("mark")).distinct())
+    sketch = possible(signed.select("node", "sketch", F.xxhash64("node").alias("mark")), "mark", names, "mark").groupBy("node").agg(F.first("sketch").alias("sketch"))
+    sketch = stash(sketch)
+    first = _stars(member, sizes, sketch, data_of, pairing, check, least)
     at = member.join(first, "node", "left").withColumn("comp", F.coalesce("comp", "node")) if first else member.withColumn("comp", F.col("node"))
     apart = at.groupBy("key").agg(F.min(F.hash("comp")).alias("p"), F.max(F.hash("comp")).alias("q")).where("p != q").select("key")
-    rows = stash(_dealt(stash(at.join(stash(sizes.join(apart, "key").select("key", "size")), "key").select("key", "node", "comp", "size"))))
+    apart = stash(sizes.join(apart, "key").select("key", "size"))
+    rows = _dealt(stash(possible(at, "key", apart, "key").join(apart, "key").select("key", "node", "comp", "size")))
     dealt = int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     together = lambda d: d.repartition(dealt, "group").sortWithinPartitions("group", "node")
-    names = rows.select("node").distinct()
-    rows = rows.join(signed.join(names, "node").groupBy("node").agg(F.first("keys").alias("keys")), "node").select("group", "key", "node", "comp", "side", "keys")
-    if sift:
-        rows = stash(together(rows).mapInArrow(lambda batches: _suspects(_groups(batches), pairing), rows.schema))
-        names = rows.select("node").distinct()
-    met = together(rows.join(data_of(stash(names)), "node").select("group", "key", "node", "comp", "side", "keys", "data"))
+    rows = rows.join(sketch, "node").select("group", "key", "node", "comp", "side", "sketch")
+    rows = stash(together(rows).mapInArrow(lambda batches: _suspects(_groups(batches), pairing), rows.schema))
+    met = together(rows.join(data_of(stash(rows.select("node").distinct())), "node").select("group", "key", "node", "comp", "side", "sketch", "data"))
     links = stash(met.mapInArrow(lambda batches: _across(_groups(batches), pairing, check, least), "a binary, b binary"))
     if links.isEmpty():
         return first
@@ -310,7 +316,7 @@ def found_classes(docs: DataFrame, sign: Signer, counted: bool, least: float) ->
     """doc_id, row, node of all rows; and node, comp of those nodes that several rows have or that links connect."""
     signed = stash(nodes(docs, sign))
     own = signed.where(F.col("node").isNotNull())
-    comps = linked(own, lambda wanted: bags(docs, own, wanted, counted), by_signature(least), bag_likeness(least), least, sift=True)
+    comps = linked(own.select("node", "keys", F.col("keys").alias("sketch")), lambda wanted: bags(docs, own, wanted, counted), by_signature(least), bag_likeness(least), least)
     several = own.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node")
     if comps is None:
         return signed, stash(several.select("node", F.col("node").alias("comp")))
