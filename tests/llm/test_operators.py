@@ -152,10 +152,60 @@ def test_line_dedup(spark):
 def test_decontamination(spark):
     item = " ".join(f"word{k}" for k in range(20))
     swapped = " ".join("other" if k in (6, 13) else f"word{k}" for k in range(20))
-    docs = spark.createDataFrame([(1, f"before {item} after"), (2, f"some {swapped} end"), (3, "nothing of it"), (4, None), (5, "")], "doc_id long, text string")
-    bench = spark.createDataFrame([(9, item), (10, None), (11, "too few")], "item_id long, text string")
-    assert sorted((r["doc_id"], r["item_id"], r["n_equal"]) for r in decontaminate.leaks(docs, bench).collect()) == [(1, 9, 20), (2, 9, 18)]
-    assert sorted(r["doc_id"] for r in decontaminate.keep_clean(docs, bench, 5).collect()) == [3, 4, 5]
+    many = " ".join("other" if k % 5 in (1, 3) else f"word{k}" for k in range(20))  # 12 of 20 are left
+    docs = spark.createDataFrame([(1, f"before {item} after"), (2, f"some {swapped} end"), (3, "nothing of it"), (4, None), (5, ""), (6, "an Exact short item, yes"), (7, f"x {many} y"), (8, "it has word1 word2 word3 word4 word5 word6 alone")], "doc_id long, text string")
+    bench = spark.createDataFrame([(9, item), (10, None), (11, "too few"), (12, "an exact short item yes"), (9, item)], "item_id long, text string")
+    want = [(1, 9, 20), (2, 9, 18), (6, 12, 5), (7, 9, 12)]
+    for block in (decontaminate.BLOCK, 5):
+        assert sorted((r["doc_id"], r["item_id"], r["n_equal"]) for r in decontaminate.leaks(docs, bench, block=block).collect()) == want
+    clash = docs.selectExpr("doc_id", "text", "text AS row", "doc_id AS flag", "text AS slot")
+    assert sorted(r["doc_id"] for r in decontaminate.keep_clean(clash, bench).collect()) == [3, 4, 5, 8]
+    assert decontaminate.keep_clean(clash, bench).columns == clash.columns
+    assert decontaminate.leaks(docs.limit(0), bench).count() == decontaminate.leaks(docs, bench.limit(0)).count() == 0
+
+
+def plain_overlap(text, item):
+    """Equal words of an item by all diagonals, one at a time."""
+    equal = set()
+    for shift in range(-len(item) + 1, len(text)):
+        same = [0 <= k + shift < len(text) and text[k + shift] == w for k, w in enumerate(item)]
+        lo, hi = max(0, -shift), min(len(item), len(text) - shift)
+        best = max(((sum(1 if same[k] else -1 for k in range(a, b)), b, -a) for a in range(lo, hi) for b in range(a + 1, hi + 1)), default=(0, 0, 0))
+        some = {k for k in range(-best[2], best[1]) if same[k]}
+        if len(some) >= decontaminate.LEAST:
+            equal |= some
+    return len(equal)
+
+
+def test_leaks_equal_all_diagonals(spark):
+    rng = np.random.default_rng(2)
+    items = [[f"i{k}w{j}" for j in range(int(rng.integers(5, 26)))] for k in range(12)]
+    texts = []
+    for k in range(60):
+        item = items[k % 12]
+        part = [w if rng.random() > 0.35 * rng.random() else f"x{rng.integers(99)}" for w in item][int(rng.integers(0, 4)) :]
+        if k % 3 == 0 and len(part) > 8:
+            part.insert(4, "more")
+        texts.append([f"y{rng.integers(99)}" for _ in range(5)] + part + [f"z{rng.integers(99)}" for _ in range(5)])
+    frame = lambda rows, name: spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(rows)], f"{name} long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["n_equal"] for r in decontaminate.leaks(frame(texts, "doc_id"), frame(items, "item_id")).collect()}
+    want = {(i, j): n for i, t in enumerate(texts) for j, w in enumerate(items) if decontaminate.is_leak(n := plain_overlap(t, w), len(w))}
+    assert len(want) > 20 and got.keys() <= want.keys() and len(got) >= 0.95 * len(want)
+    assert all(got[k] <= want[k] for k in got) and sum(got[k] == want[k] for k in got) >= 0.9 * len(got)
+
+
+@pytest.mark.parametrize("n", [8, 10, 13, 16, 20, 30, 40])
+def test_seeds_meet_substituted_items(n):
+    """Recall at the most substitutions that still are a leak."""
+    rng = np.random.default_rng(4)
+    most = n - max(decontaminate.WORDS, int(np.ceil(decontaminate.SHARE * n)))
+    met = 0
+    for _ in range(300):
+        a = vec.mix(rng.integers(0, 1 << 62, n).astype(np.uint64))
+        b = a.copy()
+        b[rng.choice(n, most, replace=False)] ^= np.uint64(1)
+        met += any(len(np.intersect1d(decontaminate.seeds(a, np.zeros(n), m)[0], decontaminate.seeds(b, np.zeros(n), m)[0])) for m in decontaminate.MASKS)
+    assert met >= 270
 
 
 def test_fingerprints(docs, odd):
@@ -170,6 +220,30 @@ def test_fingerprints(docs, odd):
     assert fingerprints.compare_edits(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_fingerprints_follow_ids_beyond_doubles(spark, kind):
+    ids = [2**60 + k for k in range(40)] if kind == "long" else [f"prefix-{k:03d}" for k in range(40)]
+    texts = [f"text {k} " * (k % 5 + 1) for k in range(40)]
+    got = {r["doc_id"]: r for r in fingerprints.compare_edits(spark.createDataFrame(list(zip(ids, texts, strict=True)), f"doc_id {kind}, text string")).collect()}
+    order = sorted(range(40), key=lambda k: ids[k], reverse=True)
+    for place, k in enumerate(order):
+        after, half = texts[order[(place + 1) % 40]], len(texts[k]) // 2
+        edited = texts[k][: len(texts[k]) - half] + after[:half]
+        assert got[ids[k]]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+
+
+def test_minhash_classes_equal_brute_force(docs):
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    sets = [set(bag(t)) for _, t in rows]
+    root = {i: i for i, _ in rows}
+    for a, (i, _) in enumerate(rows):
+        for b in range(a):
+            if sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and root[i] != root[rows[b][0]]:
+                x, y = sorted((root[i], root[rows[b][0]]))
+                root = {k: x if r == y else r for k, r in root.items()}
+    assert {r["doc_id"]: r["class_id"] for r in fingerprints.near_duplicates(docs).collect()} == root
+
+
 def test_secrets(docs):
     from pyspark.sql import functions as F
 

@@ -11,8 +11,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wordmill.llm import neardup, signatures, vec
 
@@ -61,31 +62,43 @@ def near_duplicates(docs: DataFrame, least: float = neardup.LIKENESS) -> DataFra
     return neardup.classes(docs, signatures.minhash, counted=False, least=least)
 
 
+def _coarse(docs: DataFrame) -> Column:
+    """doc_id as a double in the same order (different ids may be equal), by which ranges are cut; null is the least."""
+    kind, at = docs.schema["doc_id"].dataType, F.col("doc_id")
+    if isinstance(kind, (T.NumericType, T.TimestampType)):
+        number = at.cast("double")
+    else:  # the first six bytes
+        number = F.conv(F.rpad(F.hex(F.substring(at.cast("string").cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
+    return F.coalesce(number, F.lit(float("-inf")))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, text) dealt into ranges of descending doc_id, each sorted and followed by the row after its last.
 
-    The row after the last of all is the first of all. `copy` marks the added rows: one for each range, of which the
-    driver learns only the borders. Null doc_ids come last; rows of one doc_id are ordered by a hash of their text.
+    The row after the last of all is the first of all. `copy` marks the added rows: one for each range (and its equals), of
+    which the driver learns the id only. Null doc_ids come last; rows of one doc_id are ordered by a hash of their text.
+    The ranges are cut by doc_id as a double or, of other kinds, by its first bytes; the order is that of doc_id itself.
     """
     from pyspark.ml.feature import Bucketizer
 
     spark = docs.sparkSession
-    key = F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf")))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), key.alias("k"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), _coarse(docs).alias("k"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = sorted(set(rows.where("k > double('-infinity')").approxQuantile("k", [i / n for i in range(1, n)], 0.2 / n)))
-    splits = [float("-inf"), *cuts, float("inf")]
-    dealt = Bucketizer(splits=splits, inputCol="k", outputCol="range", handleInvalid="keep").transform(rows) if cuts else rows.withColumn("range", F.lit(0.0))
-    dealt = dealt.withColumn("range", F.col("range").cast("int"))
-    found = {r["range"]: r["most"] for r in dealt.groupBy("range").agg(F.max("k").alias("most")).collect()}
+    dealt = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="k", outputCol="range", handleInvalid="keep").transform(rows) if cuts else rows.withColumn("range", F.lit(0.0))
+    dealt = dealt.select("doc_id", "text", F.xxhash64("text").alias("h"), F.col("range").cast("int").alias("range"))
+    first = F.max(F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", F.bitwise_not("h").alias("h")))
+    found = {r["range"]: (r["first"]["doc_id"], ~r["first"]["h"]) for r in dealt.groupBy("range").agg(first.alias("first")).collect()}
     there = sorted(found)
     if not there:
-        return dealt.withColumn("copy", F.lit(False)).drop("k")
-    to = {found[r]: above for r, above in zip(there, [*there[1:], there[0]], strict=False)}  # the first row of a range also ends the range above
-    goal = F.create_map(*[F.lit(x) for pair in to.items() for x in pair])
-    both = dealt.withColumn("at", F.when(F.col("k").isin(list(to)), F.array("range", goal[F.col("k")])).otherwise(F.array("range")))
-    both = both.select("doc_id", "text", "k", F.posexplode("at").alias("copy", "range")).withColumn("copy", F.col("copy") == 1)
-    return both.repartitionById(max(there) + 1, F.col("range")).sortWithinPartitions("range", "copy", F.desc("k"), F.xxhash64("text")).select("doc_id", "text", "range", "copy")
+        return dealt.select("doc_id", "text", "range", F.lit(False).alias("copy"))
+    above = dict(zip(there, [*there[1:], there[0]], strict=True))  # the first row of a range also ends the range above
+    schema = T.StructType([T.StructField("r", T.IntegerType()), T.StructField("i", docs.schema["doc_id"].dataType), T.StructField("g", T.LongType()), T.StructField("above", T.IntegerType())])
+    goal = F.broadcast(spark.createDataFrame([(r, *found[r], above[r]) for r in there], schema))  # a row for each range
+    both = dealt.join(goal, (F.col("range") == F.col("r")) & (F.col("h") == F.col("g")) & F.col("doc_id").eqNullSafe(F.col("i")), "left")
+    at = F.when(F.col("above").isNotNull(), F.array("range", "above")).otherwise(F.array("range"))
+    both = both.select("doc_id", "text", "h", F.posexplode(at).alias("copy", "range")).withColumn("copy", F.col("copy") == 1)
+    return both.repartitionById(max(there) + 1, F.col("range")).sortWithinPartitions("range", "copy", F.desc_nulls_last("doc_id"), "h").select("doc_id", "text", "range", "copy")
 
 
 def compare_edits(docs: DataFrame, places: int = PLACES) -> DataFrame:

@@ -159,14 +159,17 @@ def fold(doc_id: str = "doc_id") -> Column:
 
 
 def sample(docs: DataFrame, rows: int = ROWS, only: Column | None = None) -> tuple[list[str], list[str]]:
-    """Stretches of about `rows` labelled documents (all, if there are fewer), taken by a hash of the row, and their languages."""
+    """Stretches of about `rows` labelled documents (all, if there are fewer), taken by a hash of the row, and their languages.
+
+    Rows of one hash come all or not at all, so repeated ones are taken once, and never more than twice `rows`.
+    """
     known = docs.where(F.col("lang").isNotNull() & (F.lit(True) if only is None else only))
     share = rows / max(1, known.select("lang").count())
     length = F.greatest(F.length("text"), F.lit(1))
     pick = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))
     parts = [F.expr(f"substring(text, cast(pmod(xxhash64(doc_id, {k}), n) as int) + 1 - {WINDOW // 2}, {WINDOW})") if k else F.expr(f"substring(text, 1, {WINDOW})") for k in range(WINDOWS)]
     part = F.expr("CASE WHEN n <= {0} THEN text ELSE NULL END".format(WINDOW * WINDOWS))
-    some = known.where(F.col("text").isNotNull() & pick).withColumn("n", length).select(F.coalesce(part, F.concat_ws(" ", *parts)).alias("text"), F.col("lang").cast("string").alias("lang")).toPandas()
+    some = known.where(F.col("text").isNotNull() & pick).withColumn("n", length).select(F.coalesce(part, F.concat_ws(" ", *parts)).alias("text"), F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id", "text").alias("row")).dropDuplicates(["row"]).limit(2 * rows).toPandas()
     return some["text"].tolist(), some["lang"].tolist()
 
 
