@@ -81,6 +81,38 @@ def test_bin_completion_beats_best_fit():
     assert own.max() + 1 == packing.bound(np.bincount(lengths, minlength=11), 10) == 3
 
 
+def least_bins(lengths, capacity):
+    """The optimum by depth-first search, longest piece first, equal rooms once."""
+    best = len(lengths)
+
+    def put(k, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if k == len(lengths):
+            best = len(rooms)
+            return
+        for room in sorted(set(rooms)):
+            if room >= lengths[k]:
+                rest = list(rooms)
+                rest[rest.index(room)] -= lengths[k]
+                put(k + 1, rest)
+        put(k + 1, [*rooms, capacity - lengths[k]])
+
+    lengths = sorted(lengths, reverse=True)
+    put(0, [])
+    return best
+
+
+def test_few_pieces_are_packed_optimally():
+    rng = np.random.default_rng(9)
+    for _ in range(300):
+        capacity = int(rng.integers(8, 40))
+        lengths = rng.integers(1, capacity + 1, int(rng.integers(1, 10)))
+        own, _ = packing.pack(lengths.astype(np.int64), capacity)
+        assert own.max() + 1 == least_bins(lengths.tolist(), capacity)
+
+
 def test_language_held_out(docs):
     model = language.train(docs)
     got = {r["doc_id"]: r for r in language.identify(docs, model).collect()}
@@ -255,6 +287,13 @@ def test_secrets(docs):
         assert all(0 <= s["start"] < s["end"] <= len(t) for s in r["spans"])
 
 
+def test_novel_secrets(spark):
+    secret = "x9Kq2LmZ7vTb4RwYp0Hs"
+    rows = [(1, f"auth header: bearer {secret} end"), (2, f"no such place {secret}"), (3, "signature = value_list_order_status_12 and auth example_access_key_id_2"), (4, f"token={secret}")]
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: [("novel", 20, 40)], 2: [], 3: [], 4: [("assign", 0, 26)]}
+
+
 def test_licenses(docs, spark):
     pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     more = spark.createDataFrame([(-1, "x MIT License, mit-license; CC BY 4.0 and Apache\nLicense"), (-2, "Licensed under the Apche License, Version 2.0"), (-3, None)], "doc_id long, text string")
@@ -270,13 +309,69 @@ def test_licenses(docs, spark):
     assert [(n["label"], n["edits"]) for n in got[-2]["notices"]] == [("apache-2.0", 1)]
 
 
+def plain_quotes(rows):
+    """Link and place of every message, one by one."""
+    normal = lambda t: re.sub(r"[\W_]+", " ", t.lower()).strip()
+    parts = lambda t: {p for x in (t, *re.split(r"\n\s*\n", t), *t.split("\n")) if len((p := normal(x)).split()) >= quotes.LEAST}
+    parsed = {}
+    for conv, turn, _, text in rows:
+        blocks = []
+        for line in (text or "").split("\n"):
+            mark = re.match(r"[ \t]*((?:>[ \t]?)+)", line)
+            depth = mark[1].count(">") if mark else 0
+            line = line[mark.end() :] if mark else line
+            if blocks and blocks[-1][0] == depth:
+                blocks[-1][1].append(line)
+            else:
+                blocks.append((depth, [line]))
+        own = "\n".join("\n".join(b) for d, b in blocks if not d)
+        quoted = {}
+        for d, b in blocks:
+            for p in parts("\n".join(b)) if d else ():
+                quoted[p] = min(quoted.get(p, 99), d)
+        parsed[conv, turn] = (parts(own.strip()), quoted)
+    out = {}
+    for at, (_, quoted) in parsed.items():
+        found = []
+        for p, depth in quoted.items():
+            said = sorted(k for k, (own, _) in parsed.items() if p in own and k < at)
+            if said:
+                found.append((-depth, next((k for k in said if k[0] == at[0]), said[0])))
+        earlier = sorted(k for k in parsed if k[0] == at[0] and k < at)
+        out[at] = (max(found)[1] if found else earlier[-1] if earlier else None, len(found))
+    root = {}
+    for conv in sorted({c for c, _ in parsed}):
+        up = [reply[0] for (c, _), (reply, n) in out.items() if c == conv and n and reply[0] < conv]
+        root[conv] = root[min(up)] if up else conv
+    place = {}
+    for thread in set(root.values()):
+        place |= {k: i for i, k in enumerate(sorted(k for k in parsed if root[k[0]] == thread))}
+    return {k: (*out[k], root[k[0]], place[k]) for k in parsed}
+
+
+def test_quotes_equal_plain_linking(spark):
+    rng = np.random.default_rng(11)
+    rows, said = [], []
+    for conv in range(40):
+        for turn in range(int(rng.integers(1, 5))):
+            own = " ".join(f"w{rng.integers(400)}" for _ in range(int(rng.integers(3, 8))))
+            quote = [f"{'>' * int(rng.integers(1, 3))} {said[int(rng.integers(len(said)))]}" for _ in range(int(rng.integers(0, 3)))] if said else []
+            said.append(own)
+            rows.append((conv, turn, "user", "\n".join([*quote, own])))
+    got = {(r["conv_id"], r["turn"]): ((r["reply_conv"], r["reply_turn"]) if r["reply_turn"] is not None else None, r["n_found"], r["thread"], r["position"]) for r in quotes.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == plain_quotes(rows)
+
+
 def test_quotes(spark):
-    rows = [(1, 0, "user", "How does the pump work here?"), (1, 1, "assistant", "> How does the pump work here?\nBy pressure."), (2, 0, "user", "> By pressure.\n>> How does the pump work here?\nReally?"), (3, 0, "user", None), (None, 1, "user", "> x\ny"), (4, None, "user", "z")]
-    got = {(r["conv_id"], r["turn"]): r for r in quotes.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
-    assert len(got) == len(rows)
+    rows = [(1, 0, "user", "How does the pump work here?"), (1, 1, "assistant", "> How does the pump work here?\nBy pressure."), (2, 0, "user", ">> How does the pump work here?\nReally?"), (3, 0, "user", None), (None, 1, "user", "> x\ny"), (4, None, "user", "z"), (5, 0, "user", "z"), (5, 0, "user", "z")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    table = quotes.conversations(df.selectExpr("*", "text AS row", "text AS own", "turn AS position")).collect()
+    got = {(r["conv_id"], r["turn"]): r for r in table}
+    assert len(table) == len(rows) and sorted(r["position"] for r in table if r["conv_id"] == 5) == [0, 1]
     assert (got[1, 1]["text"], got[1, 1]["reply_conv"], got[1, 1]["reply_turn"], got[1, 1]["n_quotes"]) == ("By pressure.", 1, 0, 1)
-    assert got[2, 0]["text"] == "Really?" and got[2, 0]["n_quotes"] == 2 and got[3, 0]["text"] is None
-    assert not queries.ORACLE_SQL
+    assert got[2, 0]["text"] == "Really?" and (got[2, 0]["reply_conv"], got[2, 0]["reply_turn"], got[2, 0]["thread"], got[2, 0]["position"]) == (1, 0, 1, 2)
+    assert got[3, 0]["text"] is None and got[4, None]["position"] is None
+    assert quotes.conversations(df.limit(0)).count() == 0 and not queries.ORACLE_SQL
 
 
 @pytest.mark.parametrize("operator", ["scan_licenses", "identify", "secrets", "pieces", "nodes", "fingerprints"])

@@ -42,26 +42,26 @@ def parse(messages: DataFrame) -> DataFrame:
     return out.withColumn("own", F.regexp_replace(own, r"^\s+|\s+$", "")).withColumn("n_quotes", F.size(F.filter("blocks", lambda b: b["depth"] > 0))).drop("__lines", "__starts")
 
 
-def link(messages: DataFrame, least: int = LEAST) -> DataFrame:
-    """conv_id, turn, row, reply_conv, reply_turn, n_found: for messages with quotes the message that they answer.
+def link(parsed: DataFrame, least: int = LEAST) -> DataFrame:
+    """conv_id, turn, row, reply_conv, reply_turn, n_found: for messages with quotes the message that they answer (parsed by parse()).
 
-    A passage is matched whole, by its paragraphs and by its lines; what a message says itself gives the other side, by
-    the same parts. Among messages that say a part, the first of the same conversation before the answer counts, else the
-    first of all before it. Of an answer's outermost quotes the message said last is the one answered.
+    A passage of any depth is matched whole, by its paragraphs and by its lines; what a message says itself gives the other
+    side, by the same parts. Among messages that say a part, the first of the same conversation before the answer counts,
+    else the first of all before it. Of the quotes of least depth that are found the message said last is the one answered.
     """
-    parsed = parse(messages)
     part = lambda text: F.filter(F.array_distinct(F.transform(F.concat(F.array(text), F.split(text, "\n\\s*\n"), F.split(text, "\n")), normal)), lambda x: F.size(F.split(x, " ")) >= least)
-    quoted = parsed.where("n_quotes > 0").select("conv_id", "turn", "row", F.explode(F.filter("blocks", lambda b: b["depth"] == 1)).alias("b"))
-    quoted = quoted.select("conv_id", "turn", "row", F.explode(part(F.col("b.said"))).alias("p")).select("conv_id", "turn", "row", passage_key(F.col("p")).alias("key")).distinct()
-    asked = stash(quoted)
+    quoted = parsed.where("n_quotes > 0").select("conv_id", "turn", "row", F.explode(F.filter("blocks", lambda b: b["depth"] > 0)).alias("b"))
+    quoted = quoted.select("conv_id", "turn", "row", "b.depth", F.explode(part(F.col("b.said"))).alias("p"))
+    asked = stash(quoted.groupBy("conv_id", "turn", "row", passage_key(F.col("p")).alias("key")).agg(F.min("depth").alias("depth")))
     said = parsed.select("conv_id", "turn", F.explode(part(F.col("own"))).alias("p")).select("conv_id", "turn", passage_key(F.col("p")).alias("key"))
-    said = said.join(asked.select("key").distinct(), "key", "left_semi")
-    near = said.groupBy("key", "conv_id").agg(F.min("turn").alias("near"))
-    far = said.where(F.col("conv_id").isNotNull()).groupBy("key").agg(F.min(F.struct("conv_id", "turn")).alias("far"))
+    said = stash(said.join(asked.select("key").distinct(), "key", "left_semi"))
+    near = stash(said.groupBy("key", "conv_id").agg(F.min("turn").alias("near")))
+    far = stash(said.where(F.col("conv_id").isNotNull()).groupBy("key").agg(F.min(F.struct("conv_id", "turn")).alias("far")))
     before = F.when(F.col("near") < F.col("turn"), F.struct("conv_id", F.col("near").alias("turn")))
     earlier = F.when((F.col("far.conv_id") < F.col("conv_id")) | (F.col("far.conv_id") == F.col("conv_id")) & (F.col("far.turn") < F.col("turn")), F.col("far"))
     met = asked.join(near, ["key", "conv_id"], "left").join(far, "key", "left").withColumn("of", F.coalesce(before, earlier)).where("of IS NOT NULL")
-    return met.groupBy("conv_id", "turn", "row").agg(F.max("of").alias("of"), F.count("*").alias("n_found")).select("conv_id", "turn", "row", F.col("of.conv_id").alias("reply_conv"), F.col("of.turn").alias("reply_turn"), "n_found")
+    best = F.max(F.struct((-F.col("depth")).alias("d"), "of"))["of"]
+    return met.groupBy("conv_id", "turn", "row").agg(best.alias("of"), F.count("*").alias("n_found")).select("conv_id", "turn", "row", F.col("of.conv_id").alias("reply_conv"), F.col("of.turn").alias("reply_turn"), "n_found")
 
 
 def roots(links: DataFrame) -> DataFrame:
@@ -84,27 +84,34 @@ def conversations(messages: DataFrame) -> DataFrame:
 
     Columns: conv_id, turn, role, text (null stays null), n_quotes, reply_conv and reply_turn (of the quoted message; else
     the turn before in the conversation; null for a first one), n_found (parts of quotes that were found), thread (the
-    conversation that the thread began with). Sorted by (thread, conv_id, turn) a thread is in reply order: an answer
-    never comes before what it quotes. Repeated rows stay, and are linked alike; null conv_ids are threads without a
-    name, null turns are linked to nothing; a message of quotes only has an empty text.
+    conversation that the thread began with), position (place in the thread, from 0: by conv_id, turn and what is said, so
+    that an answer never comes before what it quotes). Repeated rows stay, and are linked alike; null conv_ids are threads
+    without a name, null turns are linked to nothing, and neither has a position; a message of quotes only has an empty
+    text. An empty table gives none. Only the four columns are read, so no other can clash.
     """
     rows = messages.select("conv_id", "turn", "role", "text").withColumn("row", F.xxhash64("text"))
-    found = stash(link(rows))
-    thread = roots(found)
-    parsed = parse(rows).select("conv_id", "turn", "role", F.when(F.col("text").isNotNull(), F.when(F.col("n_quotes") > 0, F.col("own")).otherwise(F.col("text"))).alias("text"), "n_quotes", "row")
+    own = F.when(F.col("text").isNotNull(), F.when(F.col("n_quotes") > 0, F.col("own")).otherwise(F.col("text")))
+    parsed = stash(parse(rows).select("conv_id", "turn", "role", "row", "own", "blocks", "n_quotes", own.alias("kept")))
+    found = stash(link(parsed))
+    thread = stash(roots(found))
     # the turn before, in two steps, so that no window holds a whole conversation: within SPAN turns, then between such spans
-    turns = rows.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn").distinct().withColumn("span", F.floor(F.col("turn") / SPAN))
-    spans = turns.groupBy("conv_id", "span").agg(F.max("turn").alias("last"))
-    spans = spans.select("conv_id", "span", F.lag("last").over(Window.partitionBy("conv_id").orderBy("span")).alias("last"))
-    inner = turns.withColumn("near", F.lag("turn").over(Window.partitionBy("conv_id", "span").orderBy("turn")))
-    before = inner.join(spans, ["conv_id", "span"]).select("conv_id", "turn", F.coalesce("near", "last").alias("before")).where("before IS NOT NULL")
+    turns = stash(rows.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn").groupBy("conv_id", "turn").agg(F.count("*").alias("n")).withColumn("span", F.floor(F.col("turn") / SPAN)))
+    turns = turns.join(thread, "conv_id", "left").withColumn("thread", F.coalesce("root", "conv_id")).drop("root")
+    spans = turns.groupBy("thread", "conv_id", "span").agg(F.max("turn").alias("last"), F.sum("n").alias("n"))
+    order = Window.partitionBy("thread").orderBy("conv_id", "span")
+    spans = spans.select("thread", "conv_id", "span", F.lag("last").over(Window.partitionBy("conv_id").orderBy("span")).alias("last"), (F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("start"))
+    inside = Window.partitionBy("thread", "conv_id", "span").orderBy("turn")
+    inner = turns.withColumn("near", F.lag("turn").over(inside)).withColumn("first", F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
+    before = inner.join(spans, ["thread", "conv_id", "span"]).select("conv_id", "turn", "thread", F.coalesce("near", "last").alias("before"), (F.col("start") + F.col("first")).alias("at"))
     linked = found.select("conv_id", "turn", "row", "reply_conv", "reply_turn", "n_found")
-    out = parsed.join(linked, ["conv_id", "turn", "row"], "left").join(before, ["conv_id", "turn"], "left").join(thread, "conv_id", "left")
+    out = parsed.select("conv_id", "turn", "role", F.col("kept").alias("text"), "n_quotes", "row").join(linked, ["conv_id", "turn", "row"], "left").join(before, ["conv_id", "turn"], "left")
+    same = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("row", "role")) - 1
     return out.select(
         "conv_id", "turn", "role", "text", "n_quotes", F.when(F.col("reply_turn").isNotNull(), F.col("reply_conv")).when(F.col("before").isNotNull(), F.col("conv_id")).alias("reply_conv"),
-        F.coalesce("reply_turn", "before").alias("reply_turn"), F.coalesce("n_found", F.lit(0)).alias("n_found"), F.coalesce("root", "conv_id").alias("thread"),
+        F.coalesce("reply_turn", "before").alias("reply_turn"), F.coalesce("n_found", F.lit(0)).alias("n_found"), F.coalesce("thread", "conv_id").alias("thread"), (F.col("at") + same).alias("position"),
     )
 
 
 def op10_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The messages of all conversations in reply order, without quotes; see conversations() for nulls and repeats."""
     return conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -28,6 +30,7 @@ abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 example.com loc
 application/json content-type text/html charset=utf-8 https://www. http:// .amazonaws.com s3:// registry docker kubernetes
 import from return function const static public private protected class struct interface void string int boolean null true false
 def self None True False async await lambda yield raise except finally while break continue
+user_name_field_value_data_type_list_item_index_count_size_path_file_line_title_label_group_order_number_status_result
 database username hostname port timeout connection endpoint region bucket version release build environment production staging development
 client_id client_secret access_key_id secret_access_key refresh_token session_token private_key public_key signing_key encryption_key
 authorization: Bearer basic x-api-key api_key apikey api-key auth_token password passwd secret token credentials user login email
@@ -78,8 +81,10 @@ def find(text: bytes, hexes: list[tuple[int, int]], candidates: list[tuple[int,
     if b"AKIA" in text:
         spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
     base = sorted(spans)
+    starts, reach = [x for x, _, _ in base], list(itertools.accumulate((y for _, _, y in base), max))
     for a, b in candidates:
-        if not any(x < b and a < y for x, _, y in base) and SENSITIVE.search(text, max(0, a - NEAR), a):
+        before_b = bisect.bisect_left(starts, b)
+        if not (before_b and reach[before_b - 1] > a) and SENSITIVE.search(text, max(0, a - NEAR), a):
             before, after = text[max(0, a - AROUND) : a], text[b : b + AROUND]
             if novelty.of(before, text[a:b], after) >= NOVEL:
                 spans.append((a, 3, b))
