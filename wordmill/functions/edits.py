@@ -82,16 +82,21 @@ def common_prefix(a: Column, b: Column) -> Column:
 
 
 def is_plausible(typed: Column, word: Column) -> Column:
-    """Whether one word may be meant by the other: half of the shorter one is shared, or few edits lie between."""
-    less, more = F.least(F.length(typed), F.length(word)), F.greatest(F.length(typed), F.length(word))
-    far = F.levenshtein(typed, word)
-    return F.when(less < 2, far <= 1).otherwise((2 * common_prefix(typed, word) >= less) & (less >= 3) | (far <= F.greatest(F.lit(2), F.floor(more / 3))))
+    """Whether one word may be meant by the other, whatever the case: half of the shorter one is shared, or few edits lie between.
+
+    Equal words are no edit; words of one or two signs that begin otherwise and differ by more than one edit are none either.
+    """
+    a, b = F.lower(typed), F.lower(word)
+    less, more = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
+    shared, far = common_prefix(a, b), F.levenshtein(a, b)
+    return (a != b) & ~((less <= 2) & (shared == 0) & (far > 1)) & ((2 * shared >= less) | (far <= F.greatest(F.lit(2), F.floor(more / 3))))
 
 
 def is_inflection(a: Column, b: Column) -> Column:
-    """Words of one stem: four signs and three fifths shared, endings of one to five signs."""
+    """Words of one stem, whatever the case: four signs and three fifths of the longer shared, endings of one to five signs in both."""
+    a, b = F.lower(a), F.lower(b)
     stem = common_prefix(a, b)
-    tail = lambda w: (F.length(w) - stem).between(0, 5)
+    tail = lambda w: (F.length(w) - stem).between(1, 5)
     return (a != b) & (stem >= 4) & (stem >= 0.6 * F.greatest(F.length(a), F.length(b))) & tail(a) & tail(b)
 
 
@@ -105,19 +110,19 @@ def _one_less(short: Column, long: Column) -> Column:
 
 
 def category(typo: Column, meant: Column) -> Column:
-    """What kind of slip leads from the word that was meant to the typo."""
+    """What kind of slip leads from the word that was meant to the typo, whatever the case."""
+    typo, meant = F.lower(typo), F.lower(meant)
     n, m = F.length(typo), F.length(meant)
     signs = lambda w: F.array_sort(F.split(w, ""))
     return (
         F.when((typo == "") | (meant == "") | (typo == meant), "other")
-        .when(F.replace(typo, F.lit("'"), F.lit("")) == F.replace(meant, F.lit("'"), F.lit("")), "contraction_damage")
-        .when(F.replace(typo, F.lit(" "), F.lit("")) == F.replace(meant, F.lit(" "), F.lit("")), "space_miss")
+        .when(typo.rlike("['’]") | meant.rlike("['’]"), "contraction_damage").when(typo.contains(" ") | meant.contains(" "), "space_miss")
         .when(category_base(typo) == category_base(meant), "accent_drop")
         .when(n == m, F.when(signs(typo) == signs(meant), "transposition").otherwise("substitution"))
         .when((n == m - 1) & _one_less(typo, meant), F.when(_doubled(typo, meant), "gemination").otherwise("deletion"))
         .when((n == m + 1) & _one_less(meant, typo), F.when(_doubled(meant, typo), "gemination").otherwise("insertion"))
         .otherwise("substitution")
-    )
+    )
 
 
 def deletes(word: Column, distance: int = 1) -> Column:
@@ -152,6 +157,26 @@ def edits1(word: str) -> list[tuple[str, float]]:
     return sorted(out.items())
 
 
+#: Letters that stand for each other without a slip of the hand.
+TWINS = {a: {b for p in CONFUSIONS if a in p for b in p if b != a} for a in {c for p in CONFUSIONS for c in p}}
+
+
+def adjacent(reach: float = 1.25) -> list[tuple[str, str]]:
+    """Pairs of keys whose middles lie no farther apart than `reach`."""
+    return sorted((a, b) for a, (x, y) in KEYS.items() for b, (u, v) in KEYS.items() if a != b and (x - u) ** 2 + (y - v) ** 2 <= reach**2)
+
+
+NEAR = {a: {c for b, c in adjacent() if b == a} for a in KEYS}
+
+
+def cheap_edits(word: str) -> list[str]:
+    """Words one cheap edit away: a neighbouring key or a twin, a sign left out, two swapped, or any sign put in."""
+    out = {word[:i] + c + word[i + 1 :] for i, k in enumerate(word) for c in NEAR.get(k, set()) | TWINS.get(k, set())}
+    out |= {word[:i] + word[i + 1 :] for i in range(len(word))} | {word[:i] + word[i + 1] + word[i] + word[i + 2 :] for i in range(len(word) - 1)}
+    out |= {word[:i] + c + word[i:] for i in range(len(word) + 1) for c in ALPHABET}
+    return sorted(out - {word})
+
+
 def restorations(word: str, most: int = 3) -> list[str]:
     """Words that up to three letters, typed without their mark, may stand for."""
     marks = {"a": "áæ", "e": "é", "i": "í", "o": "óö", "u": "ú", "y": "ý", "d": "ð", "t": "þ"}
@@ -168,7 +193,7 @@ def geminations(word: str) -> list[str]:
     return sorted(out - {word})
 
 
-VARIANTS = {"edit": lambda w: [c for c, _ in edits1(w)], "diacritic": restorations, "gemination": geminations}
+VARIANTS = {"edit": lambda w: [c for c, _ in edits1(w)], "diacritic": restorations, "gemination": geminations, "cheap": cheap_edits}
 
 
 def variants(kind: str):

@@ -53,13 +53,23 @@ def evicted(rows: DataFrame, by: list[str], most: int, protected: Column) -> Dat
     return out.where(protected | (F.col("__r") > F.col("__n") - most)).drop("__r", "__n")
 
 
-def merged(replicas: DataFrame, by: list[str]) -> DataFrame:
-    """Any number of replicas (word, n, explicit, days array, touch_n, touch_x) in one: field by field the most, the union of days, or of flags.
+def merged(replicas: DataFrame, by: list[str], tombstones: DataFrame | None = None) -> DataFrame:
+    """Any number of replicas (word, n, explicit, days array, touch: n, x, y, xx, yy, xy) in one: field by field the most, the first eight of all days, any flag.
 
-    The touch sums of the larger count stay whole, of equal ones the smaller mean. Order and grouping don't matter.
+    The touch statistics of the larger count stay whole, of equal ones those of the least values in that order. Words that
+    any replica has deleted (tombstones: by and word) go. Order and grouping don't matter.
     """
-    touch = F.max(F.struct("touch_n", (-F.col("touch_x")).alias("x")))
-    return replicas.groupBy(*by, "word").agg(F.max("n").alias("n"), F.bool_or("explicit").alias("explicit"), F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("days")))), 1, 8).alias("days"), touch.alias("t")).select(*by, "word", "n", "explicit", "days", F.col("t.touch_n").alias("touch_n"), (-F.col("t.x")).alias("touch_x"))
+    rows = replicas if tombstones is None else without(replicas, tombstones, ["word"], by)
+    touch = F.min(F.struct((-F.col("touch.n")).alias("n"), *(F.col(f"touch.{c}").alias(c) for c in ("x", "y", "xx", "yy", "xy"))))
+    days = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("days")))), 1, 8)
+    out = rows.groupBy(*by, "word").agg(F.max("n").alias("n"), F.bool_or("explicit").alias("explicit"), days.alias("days"), touch.alias("t"))
+    return out.select(*by, "word", "n", "explicit", "days", F.struct((-F.col("t.n")).alias("n"), *(F.col(f"t.{c}").alias(c) for c in ("x", "y", "xx", "yy", "xy"))).alias("touch"))
+
+
+def merged_pairs(replicas: DataFrame, by: list[str], tombstones: DataFrame, most: int = 20_000) -> DataFrame:
+    """Pairs of words (w1, w2, n) of all replicas: the larger count, none that touches a deleted word, the `most` most frequent of each group."""
+    rows = without(replicas, tombstones, ["w1", "w2"], by).groupBy(*by, "w1", "w2").agg(F.max("n").alias("n"))
+    return capped(rows, by, most, [F.desc("n"), F.concat_ws(" ", "w1", "w2").asc()])
 
 
 def merge_two(a: DataFrame, b: DataFrame, keys: list[str], value: str = "n") -> DataFrame:

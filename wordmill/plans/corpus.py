@@ -9,11 +9,11 @@ from wordmill.functions import edits, model, text
 from wordmill.operators import lexicon, lookup, quality, sessions
 from wordmill.plans.registry import query, table
 
-TOK = r"tok AS (SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '(\p{L}+)', 1)) AS w FROM documents)"
+TOK = r"tok AS MATERIALIZED (SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '(\p{L}+)', 1)) AS w FROM documents)"
 UNI = TOK + ", uni AS MATERIALIZED (SELECT w AS word, count(*) AS freq FROM tok GROUP BY w)"
-BI = r"""lst AS (SELECT regexp_extract_all(lower(text), '(\p{L}+)', 1) AS ws FROM documents),
-pr AS (SELECT unnest(list_zip(ws[1:len(ws) - 1], ws[2:])) AS p FROM lst WHERE len(ws) > 1),
-bi AS (SELECT p[1] AS w1, p[2] AS w2, count(*) AS freq FROM pr GROUP BY ALL)"""
+BI = r"""lst AS MATERIALIZED (SELECT regexp_extract_all(lower(text), '(\p{L}+)', 1) AS ws FROM documents),
+pr AS MATERIALIZED (SELECT unnest(list_zip(ws[1:len(ws) - 1], ws[2:])) AS p FROM lst WHERE len(ws) > 1),
+bi AS MATERIALIZED (SELECT p[1] AS w1, p[2] AS w2, count(*) AS freq FROM pr GROUP BY ALL)"""
 BENCH = r"bw AS MATERIALIZED (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '(\p{L}+)', 1)) AS word FROM benchmark)"
 SKELETON = "translate({}, 'áéíóúýðþ', 'aeiouydt')"
 
@@ -53,14 +53,14 @@ def accent_dominated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon.accent_dominated(lexicon.unigrams(_docs(spark, sf_dir)))
 
 
-@query(f"""WITH {UNI}, {BENCH}, o AS (SELECT *, row_number() OVER (ORDER BY freq DESC, word) AS r FROM uni WHERE word NOT IN (SELECT word FROM bw))
-SELECT word, freq FROM o WHERE r <= 1000 OR freq >= 50 UNION ALL SELECT word, freq FROM uni WHERE word IN (SELECT word FROM bw)""")
+@query(f"""WITH {UNI}, {BENCH}, o AS (SELECT *, row_number() OVER (ORDER BY freq DESC, word) AS r FROM uni ANTI JOIN bw USING (word))
+SELECT word, freq FROM o WHERE r <= 1000 OR freq >= 50 UNION ALL SELECT word, freq FROM uni SEMI JOIN bw USING (word)""")
 def pruned_unlisted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon.prune_unlisted(lexicon.unigrams(_docs(spark, sf_dir)), _bench(spark, sf_dir), 1000, 50)
 
 
-@query(f"""WITH {UNI}, {BI}, k AS (SELECT word FROM uni WHERE freq >= 5)
-SELECT w1, w2, freq FROM bi WHERE w1 IN (SELECT word FROM k) AND w2 IN (SELECT word FROM k)""")
+@query(f"""WITH {UNI}, {BI}, k AS MATERIALIZED (SELECT word FROM uni WHERE freq >= 5)
+SELECT w1, w2, bi.freq FROM bi JOIN k a ON a.word = w1 JOIN k b ON b.word = w2""")
 def known_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     return lexicon.keep_known(lexicon.bigrams(docs), lexicon.unigrams(docs).where("freq >= 5"))
@@ -236,10 +236,10 @@ def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {UNI}, {BENCH}, {FUZZY}, {POOL}, s AS (SELECT *, ln(freq + 0.5) AS score FROM pool),
 r AS (SELECT *, score - lead(score) OVER w AS margin, row_number() OVER w AS rank FROM s WINDOW w AS (PARTITION BY typed ORDER BY score DESC, word)),
 m AS (SELECT *, exp(score - max(score) OVER (PARTITION BY typed)) AS e FROM r WHERE rank <= 8)
-SELECT typed, word, provider, rank, round(score, 6) AS score, round(margin, 6) AS margin, round(e / sum(e) OVER (PARTITION BY typed), 6) AS confidence FROM m""", rank="INT")
+SELECT typed, word, provider, rank, round(score, 6) AS score, round(margin, 6) AS margin, round(e / sum(e) OVER (PARTITION BY typed), 10) AS confidence FROM m""", rank="INT")
 def ranked_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lookup.confidence(lookup.ranked(_pool(spark, sf_dir), F.log(F.col("freq") + 0.5)), ["typed"])
-    return found.select("typed", "word", "provider", "rank", *(F.round(c, 6).alias(c) for c in ("score", "margin", "confidence")))
+    return found.select("typed", "word", "provider", "rank", F.round("score", 6).alias("score"), F.round("margin", 6).alias("margin"), F.round("confidence", 10).alias("confidence"))
 
 
 @query(f"""WITH {UNI}, {BENCH}, {FUZZY}, {POOL} SELECT provider, count(*) AS n FROM pool GROUP BY 1""")
@@ -356,14 +356,18 @@ def stage_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(kind.alias("stage")).groupBy("stage").agg(F.count("*").alias("n"))
 
 
-PLAUSIBLE = """pre AS (SELECT typed, word, edits, len(list_filter(range(1, least(length(typed), length(word)) + 1), lambda i: typed[1:i] = word[1:i])) AS p, least(length(typed), length(word)) AS s, greatest(length(typed), length(word)) AS l FROM fz)"""
+PLAUSIBLE = """pre AS (SELECT typed, word, edits, coalesce(t.freq, 0) AS own, fz.freq, row_number() OVER (PARTITION BY typed ORDER BY fz.freq DESC, word) AS rank,
+len(list_filter(range(1, least(length(typed), length(word)) + 1), lambda i: typed[1:i] = word[1:i])) AS p, least(length(typed), length(word)) AS s, greatest(length(typed), length(word)) AS l FROM fz LEFT JOIN (SELECT word AS typed, freq FROM uni) t USING (typed))"""
 
 
-@query(f"""WITH {UNI}, {BENCH}, {FUZZY}, {PLAUSIBLE} SELECT typed, word, CASE WHEN length(word) % 7 = 0 THEN 'AUTOCORRECT_UNDONE' WHEN length(word) % 5 = 0 THEN 'TAP_USED'
-WHEN NOT (CASE WHEN s < 2 THEN edits <= 1 ELSE (2 * p >= s AND s >= 3) OR edits <= greatest(2, l // 3) END) THEN NULL
-WHEN p >= 4 AND p >= 0.6 * l AND length(typed) - p <= 5 AND length(word) - p <= 5 THEN 'INFLECTION_MISS' WHEN length(typed) % 2 = 0 THEN 'MISS_OFFERED' ELSE 'MISS_ABSENT' END AS class FROM pre""")
+@query(f"""WITH {UNI}, {BENCH}, {FUZZY}, {PLAUSIBLE} SELECT typed, word, CASE WHEN own > 10 * freq THEN 'AUTOCORRECT_UNDONE'
+WHEN s <= 2 AND p = 0 AND edits > 1 OR NOT (2 * p >= s OR edits <= greatest(2, l // 3)) THEN NULL
+WHEN p >= 4 AND p >= 0.6 * l AND length(typed) - p BETWEEN 1 AND 5 AND length(word) - p BETWEEN 1 AND 5 THEN 'INFLECTION_MISS' WHEN rank <= 3 THEN 'MISS_OFFERED' ELSE 'MISS_ABSENT' END AS class FROM pre""")
 def slip_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _fuzzy(spark, sf_dir).select("typed", F.col("word").alias("meant"), (F.length("typed") % 2 == 0).alias("offered"), (F.length("word") % 7 == 0).alias("undone"), (F.length("word") % 5 == 0).alias("tapped"))
+    """Neighbours as slips: offered are the three most frequent ones, undone those that a far more frequent word was typed for."""
+    uni = lexicon.unigrams(_docs(spark, sf_dir)).select(F.col("word").alias("typed"), F.col("freq").alias("own"))
+    found = _fuzzy(spark, sf_dir).join(uni, "typed", "left").withColumn("rank", F.row_number().over(Window.partitionBy("typed").orderBy(F.desc("freq"), "word")))
+    rows = found.select("typed", F.col("word").alias("meant"), (F.col("rank") <= 3).alias("offered"), (F.coalesce("own", F.lit(0)) > 10 * F.col("freq")).alias("undone"), F.lit(False).alias("tapped"))
     return sessions.classify(rows).select("typed", F.col("meant").alias("word"), "class")
 
 
@@ -381,8 +385,14 @@ def context_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(F.collect_list(n).over(order.rowsBetween(-4, -1)), ",").alias("before"), F.lag(n).over(order).alias("last"))
 
 
-@query()
+@query("""WITH s AS (SELECT CAST(conv_id AS VARCHAR) AS sid, CAST(turn AS DOUBLE) AS t, coalesce(text, '') AS text FROM conversations),
+a AS (SELECT *, lag(text) OVER w AS before, lag(t) OVER w AS before_t FROM s WINDOW w AS (PARTITION BY sid ORDER BY t, text)),
+b AS (SELECT *, sign(length(text) - length(before)) AS turn FROM a),
+c AS (SELECT *, last_value(CASE WHEN turn != 0 THEN turn END IGNORE NULLS) OVER (PARTITION BY sid ORDER BY t, text ROWS UNBOUNDED PRECEDING) AS way FROM b),
+d AS (SELECT *, coalesce(turn < 0 AND coalesce(lag(way) OVER (PARTITION BY sid ORDER BY t, text), 0) >= 0, false) AS begins FROM c),
+e AS (SELECT *, sum(CASE WHEN begins THEN 1 ELSE 0 END) OVER (PARTITION BY sid ORDER BY t, text ROWS UNBOUNDED PRECEDING) AS nth FROM d)
+SELECT * FROM (SELECT sid, max(CASE WHEN begins THEN before_t END) AS peak_t, max(CASE WHEN begins THEN before END) AS peak, arg_max(text, (t, text)) FILTER (way < 0) AS trough, max(t) AS end_t, arg_max(text, (t, text)) AS "end" FROM e WHERE nth > 0 GROUP BY sid, nth) WHERE "end" != peak AND trough != peak""")
 def erased_and_retyped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Episodes over conversations taken as snapshots; tests hold the detector against a plain scan."""
+    """Episodes over conversations taken as snapshots."""
     snapshots = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("sid"), F.col("turn").cast("double").alias("t"), "text")
     return sessions.episodes(snapshots)

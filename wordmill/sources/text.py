@@ -151,7 +151,9 @@ def audit(spark: SparkSession, files: str, manifest: DataFrame) -> DataFrame:
 
 
 def markdown(rows: DataFrame, most: int = 200) -> str:
-    """A small table as Markdown, for reports."""
-    found = rows.limit(most).collect()
+    """A table of `most` rows or fewer as Markdown, for reports; larger ones are refused, not cut."""
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"a report table has {most} rows at most")
     head = "| " + " | ".join(rows.columns) + " |\n|" + "---|" * len(rows.columns) + "\n"
     return head + "".join("| " + " | ".join("" if v is None else str(v) for v in r) + " |\n" for r in found)
