@@ -195,9 +195,9 @@ def _across(groups: Iterator[pa.Table], pairing: Pairing, check: Check, least: f
                     comp[comp == comp[j[k]]] = comp[i[k]]
 
 
-def _stars(member: DataFrame, sizes: DataFrame, sketch: DataFrame, data_of: Callable[[DataFrame], DataFrame], pairing: Pairing, check: Check, least: float) -> DataFrame | None:
+def _stars(member: DataFrame, sizes: DataFrame, sketch: DataFrame, data_of: Callable[[DataFrame], DataFrame], pairing: Pairing, check: Check, least: float, small: int) -> DataFrame | None:
     """Components (node, comp) of verified links between the nodes of large buckets and the most central node that each meets."""
-    large = stash(sizes.where(F.col("size") > SMALL))
+    large = stash(sizes.where(F.col("size") > small))
     if large.isEmpty():
         return None
     big = stash(possible(member, "key", large, "key").join(large, "key").select("key", "node", "size"))
@@ -253,11 +253,11 @@ def _dealt(at: DataFrame) -> DataFrame:
     return small.unionByName(rows.select(F.col("cell.group").alias("group"), "key", "node", "comp", F.col("cell.side").alias("side")))
 
 
-def linked(signed: DataFrame, data_of: Callable[[DataFrame], DataFrame], pairing: Pairing, check: Check, least: float) -> DataFrame | None:
+def linked(signed: DataFrame, data_of: Callable[[DataFrame], DataFrame], pairing: Pairing, check: Check, least: float, small: int = SMALL) -> DataFrame | None:
     """Components (node, comp), or None, that the verified pairs of nodes sharing a key connect.
 
-    signed has node, keys and sketch; a node may have several rows, all equal. First the nodes of large buckets are held
-    against central ones; most alike ones are one component then. After that every pair of a bucket whose nodes are still
+    signed has node, keys and sketch; a node may have several rows, all equal. First the nodes of buckets of more than
+    `small` are held against central ones; most alike ones are one component then. After that every pair of a bucket whose nodes are still
     in different components is looked at, without exception: pairing() takes or excludes it by the sketches, and
     data_of() is asked for (node, data) of the nodes of pairs that are left, which check() verifies.
     """
@@ -269,7 +269,7 @@ def linked(signed: DataFrame, data_of: Callable[[DataFrame], DataFrame], pairing
     names = stash(member.select("node", F.xxhash64("node").alias("mark")).distinct())
     sketch = possible(signed.select("node", "sketch", F.xxhash64("node").alias("mark")), "mark", names, "mark").groupBy("node").agg(F.first("sketch").alias("sketch"))
     sketch = stash(sketch)
-    first = _stars(member, sizes, sketch, data_of, pairing, check, least)
+    first = _stars(member, sizes, sketch, data_of, pairing, check, least, small)
     at = member.join(first, "node", "left").withColumn("comp", F.coalesce("comp", "node")) if first else member.withColumn("comp", F.col("node"))
     apart = at.groupBy("key").agg(F.min(F.hash("comp")).alias("p"), F.max(F.hash("comp")).alias("q")).where("p != q").select("key")
     apart = stash(sizes.join(apart, "key").select("key", "size"))
