@@ -109,15 +109,6 @@ def shrunk_offset(mean: Column, n: Column, s: Settings = SETTINGS) -> Column:
     return F.when(n >= s.touch_least, n / (n + s.touch_prior) * mean)
 
 
-def may_apply(typed: Column, top: Column, score: Column, runner_up: Column, cost: Column, z: Column, typed_z: Column, s: Settings = SETTINGS) -> Column:
-    """Whether the best candidate replaces a word by itself: length, cost, no sign lost, margin, z floors, junk asks more."""
-    lost = F.exists(F.split(F.regexp_replace(typed, r"[\p{L}]", ""), ""), lambda c: (c != "") & ~top.contains(c))
-    need = s.margin * F.when(typed_z < s.junk_z, F.lit(1 / s.junk_factor)).otherwise(1.0) * F.when(F.levenshtein(typed, top) >= s.far_edits, 2.0).otherwise(1.0)
-    split = top.contains(" ")
-    gap = score - F.coalesce(runner_up, F.lit(-1e9))
-    return (F.length(typed) >= 2) & (cost <= s.most_cost) & ~lost & (typed != top) & F.when(split, gap >= s.split_margin).otherwise((gap >= need) & (z >= s.least_z))
-
-
 # Morphology: a bundle packs case, gender, number, definiteness, person, tense and mood into 16 bits.
 FIELDS = {"case": (0, 3), "gender": (3, 2), "number": (5, 2), "definite": (7, 1), "person": (8, 2), "tense": (10, 2), "mood": (12, 3)}
 CASES = (("ÞGF", 3), ("ÞF", 2), ("NF", 1), ("EF", 4))  # longer marks first: one holds another
