@@ -173,6 +173,7 @@ EDITS = """transform(sequence(0, 2), k -> named_struct(
 
 
 def op2_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document: ids before and after its edits; see count_edits() for nulls and edits out of bounds."""
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

@@ -141,4 +141,5 @@ def compare_edits(docs: DataFrame, places: int = PLACES) -> DataFrame:
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document; see compare_edits() for nulls, single rows and equal ids."""
     return compare_edits(spark.read.parquet(f"{sf_dir}/documents.parquet"))

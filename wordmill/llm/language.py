@@ -212,6 +212,7 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document; see identify() for nulls and texts without letters, train() for what is learned from."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = identify(docs, train(docs))
     return found.select("doc_id", F.coalesce(fold() == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")

@@ -198,6 +198,7 @@ def _texts(column: pa.Array, notices: Notices) -> list[dict]:
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document, by the contract; see scan() for nulls, empty texts and repeats."""
     found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     joined = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
     likeness = F.array_max(F.transform("notices", lambda n: n["likeness"]))

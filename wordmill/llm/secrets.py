@@ -142,6 +142,7 @@ def _texts(column: pa.Array, novelty: Novelty) -> list[list[dict]]:
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document, by the contract; see scan() for what counts as a secret and for nulls."""
     found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     base = F.filter("spans", lambda s: s["kind"] != "novel")
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
