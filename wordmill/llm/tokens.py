@@ -19,7 +19,7 @@ import pyarrow as pa
 from wordmill.llm import vec
 
 #: Distinct pieces that a worker remembers; beyond them it starts anew.
-REMEMBERED = 3_000_000
+REMEMBERED = 1_000_000
 _APOSTROPHE = 0x27
 
 
