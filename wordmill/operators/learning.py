@@ -83,6 +83,35 @@ def touch_stats(taps: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     return taps.groupBy(*by).agg(n.alias("n"), F.avg(x).alias("mean_x"), F.avg(y).alias("mean_y"), (F.coalesce(F.var_pop(x), F.lit(0.0)) * n).alias("m2_x"), (F.coalesce(F.var_pop(y), F.lit(0.0)) * n).alias("m2_y"), (F.coalesce(F.covar_pop(x, y), F.lit(0.0)) * n).alias("c_xy"))
 
 
+def folded(rows: Column, x: str, y: str) -> Column:
+    """The mean of x, the variances of x and y and their covariance (x, xx, yy, xy) of an array of structs, by Welford's recurrence in its order.
+
+    Sums of doubles depend on their order: aggregates over partitions give other last bits from run to run, which a rounding
+    at a tie makes visible. Rows where x or y is null count for neither covariance nor that column's own figures.
+    """
+    zero, double = F.lit(0.0), lambda row, c: row[c].cast("double")
+
+    def spread(c: str) -> Column:
+        def step(a: Column, row: Column) -> Column:
+            n, v = a["n"] + 1, double(row, c)
+            mean = a["mean"] + (v - a["mean"]) / n
+            return F.struct(n.alias("n"), mean.alias("mean"), (a["m"] + (v - mean) * (v - a["mean"])).alias("m"))
+
+        start = F.struct(zero.alias("n"), zero.alias("mean"), zero.alias("m"))
+        return F.aggregate(F.filter(rows, lambda row: row[c].isNotNull()), start, step, lambda a: F.when(a["n"] > 0, a["m"] / a["n"]))
+
+    def both(a: Column, row: Column) -> Column:
+        n, u, v = a["n"] + 1, double(row, x), double(row, y)
+        mx, my = a["mx"] + (u - a["mx"]) / n, a["my"] + (v - a["my"]) / n
+        return F.struct(n.alias("n"), mx.alias("mx"), my.alias("my"), (a["m"] + (v - a["my"]) * (u - mx)).alias("m"))
+
+    here = F.filter(rows, lambda row: row[x].isNotNull())
+    mean = F.aggregate(here, zero, lambda a, row: a + double(row, x)) / F.nullif(F.size(here), F.lit(0))
+    start = F.struct(zero.alias("n"), zero.alias("mx"), zero.alias("my"), zero.alias("m"))
+    xy = F.aggregate(F.filter(here, lambda row: row[y].isNotNull()), start, both, lambda a: F.when(a["n"] > 0, a["m"] / a["n"]))
+    return F.struct(mean.alias("x"), spread(x).alias("xx"), spread(y).alias("yy"), xy.alias("xy"))
+
+
 def frecency(touches: DataFrame, by: list[str], time: str, now: Column, half_life_days: float = 30.0) -> DataFrame:
     """The sum of 2^(-age / half-life): what decaying at every touch comes to."""
     age = (F.unix_micros(now) - F.unix_micros(time)) / 1e6 / 86400.0

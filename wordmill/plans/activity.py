@@ -176,9 +176,12 @@ g AS (SELECT user_id, word, max(n) AS n, bool_or(explicit) AS explicit, array_to
 SELECT user_id, word, n, explicit, days, -t[1] AS touch_n, t[2] AS x, t[3] AS y, t[4] AS xx, t[5] AS yy, t[6] AS xy FROM g""", touch_n="BIGINT")
 def merged_replicas(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _events(spark, sf_dir).withColumn("r", F.col("event_id") % 2)
-    rounded = lambda c, name: F.round(c, 4).alias(name)
-    touch = [F.count_if(F.col("event_type") == "click").alias("n"), rounded(F.avg("value"), "x"), rounded(F.avg("day"), "y"), rounded(F.var_pop("value"), "xx"), rounded(F.var_pop("day"), "yy"), rounded(F.covar_pop("value", "day"), "xy")]
-    rows = events.groupBy("user_id", "word", "r").agg(F.count("*").alias("n"), F.bool_or(F.col("event_type") == "purchase").alias("explicit"), F.collect_set("day").alias("days"), F.struct(*touch).alias("touch"))
+    rounded = lambda c, name: (F.round(c * 10_000) / 10_000).alias(name)
+    taps = F.array_sort(F.collect_list(F.struct("event_id", "value", "day")))  # SQL takes them as they are stored, by event_id
+    counts = [F.count("*").alias("n"), F.bool_or(F.col("event_type") == "purchase").alias("explicit"), F.collect_set("day").alias("days"), F.count_if(F.col("event_type") == "click").alias("touch_n"), F.avg("day").alias("y"), taps.alias("taps")]
+    rows = events.groupBy("user_id", "word", "r").agg(*counts).withColumn("t", learning.folded(F.col("taps"), "value", "day"))
+    touch = [F.col("touch_n").alias("n"), rounded(F.col("t.x"), "x"), rounded(F.col("y"), "y"), *(rounded(F.col(f"t.{c}"), c) for c in ("xx", "yy", "xy"))]
+    rows = rows.select("user_id", "word", "r", "n", "explicit", "days", F.struct(*touch).alias("touch"))
     out = learning.merged(rows, ["user_id"], _gone(events)).withColumn("days", F.array_join("days", ","))
     return out.select("user_id", "word", "n", "explicit", "days", F.col("touch.n").alias("touch_n"), *(F.col(f"touch.{c}").alias(c) for c in ("x", "y", "xx", "yy", "xy")))
 
