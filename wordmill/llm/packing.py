@@ -17,10 +17,8 @@ from wordmill.llm.cluster import stash
 CAPACITY = 2048
 #: Pieces that one task packs together. A block leaves at most about one sequence unfilled, 1 in some 3,000.
 BLOCK = 8192
-#: Nodes of the search tree that a block may visit beside the first descent.
-NODES = 500
-#: Up to so many pieces all fillings are enumerated, and so many times more nodes visited.
-FEW, MORE = 32, 40
+#: Nodes of the search tree that a block, of any size, may visit beside the first descent.
+NODES = 20_000
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
@@ -59,29 +57,41 @@ def bound(counts: np.ndarray, capacity: int) -> int:
     return most
 
 
-def fillings(counts: np.ndarray, room: int, most: int = 5000) -> list[tuple[int, ...]]:
-    """All fillings of the room to which no further piece can be added, least waste first, then fewer and longer pieces.
+def fillings(counts: np.ndarray, room: int, most: int) -> Iterator[tuple[int, ...]]:
+    """All fillings of the room that waste at most `most` and to which no further piece can be added, least waste first.
 
-    Every undominated filling is one of these: one that leaves room for a piece is dominated by itself with that piece.
+    Every undominated filling is one of these: one that leaves room for a piece is dominated by itself with that piece. So
+    all pieces up to the waste are in it; the others are found by the sums that they reach, without dead ends.
     """
     sizes = [int(s) for s in np.flatnonzero(counts[: room + 1])[::-1] if s]
-    out: list[tuple[int, ...]] = []
+    many = [int(counts[s]) for s in sizes]
+    mask, small, reach = (2 << room) - 1, -1, [1]
 
-    def grow(at: int, left: int, taken: tuple[int, ...], passed: int) -> None:
-        # passed: the least size of which a piece was left out
-        if len(out) >= most:
+    def grow(at: int, left: int, taken: tuple[int, ...]) -> Iterator[tuple[int, ...]]:
+        if not left:
+            yield taken
             return
-        if at == len(sizes) or sizes[-1] > left:
-            if passed > left:
-                out.append(taken)
+        for k in range(at, len(reach) - 1):
+            if not reach[k] >> left & 1:
+                return
+            for n in range(min(many[k], left // sizes[k]), 0, -1):
+                if reach[k + 1] >> left - n * sizes[k] & 1:
+                    yield from grow(k + 1, left - n * sizes[k], taken + (sizes[k],) * n)
+
+    for waste in range(min(most, room) + 1):
+        before, small = small, sum(s <= waste for s in sizes)
+        if small != before:
+            reach, held = [1], tuple(s for s, n in zip(sizes, many, strict=True) if s <= waste for _ in range(n))
+            for k in range(len(sizes) - small - 1, -1, -1):  # reach[k]: a bit for each sum of the pieces from the k-th size on
+                sums = reach[-1]
+                for _ in range(min(many[k], room // sizes[k])):
+                    sums |= sums << sizes[k] & mask
+                reach.append(sums)
+            reach.reverse()
+        if sum(held) > room - waste:
             return
-        size = sizes[at]
-        most_here = min(int(counts[size]), left // size)
-        for k in range(most_here, -1, -1):
-            grow(at + 1, left - k * size, taken + (size,) * k, passed if k == counts[size] else min(passed, size))
-
-    grow(0, room, (), room + 1)
-    return sorted(out, key=lambda f: (-sum(f), len(f), tuple(-x for x in f)))
+        for rest in grow(0, room - waste - sum(held), ()):
+            yield rest + held
 
 
 def completions(counts: np.ndarray, room: int, width: int = 4) -> list[tuple[int, ...]]:
@@ -130,54 +140,62 @@ def completions(counts: np.ndarray, room: int, width: int = 4) -> list[tuple[int
 def complete(counts: np.ndarray, capacity: int, incumbent: int, least: int, nodes: int = NODES) -> list[list[int]] | None:
     """Bins of lengths that are fewer than the incumbent, or None: depth first over fillings around the longest piece.
 
-    A branch ends when the room that it wastes can no longer save a bin.
+    At each node the best fillings of few pieces come first, then all others, however many pieces there are. A branch ends
+    when the room that it wastes can no longer save a bin.
     """
     counts, total = counts.copy(), int((counts * np.arange(len(counts))).sum())
     best: list[list[int]] | None = None
-    few = int(counts.sum()) <= FEW
-    nodes = incumbent + nodes * (MORE if few else 1)
-    stack: list[tuple[list[tuple[int, ...]], int]] = []  # choices left, waste before them
-    bins: list[list[int]] = []
-
-    def longest() -> int:
-        there = np.flatnonzero(counts)
-        return int(there[-1]) if len(there) else 0
+    nodes += incumbent
+    stack: list[tuple[Iterator[tuple[int, ...]], int]] = []  # choices left, waste before them
+    bins: list[tuple[int, ...]] = []
 
-    def choices(waste: int) -> list[tuple[int, ...]]:
-        first = longest()
+    def choices(waste: int) -> Iterator[tuple[int, ...]]:
+        """Bins around the longest piece. Whenever one is asked for, the counts are those of the first time."""
+        first = int(np.flatnonzero(counts)[-1])
         counts[first] -= 1
-        out = [(first, *c) for c in (fillings if few else completions)(counts, capacity - first)]
+        own = completions(counts, capacity - first)
         counts[first] += 1
-        return out[::-1]
+        seen = set()
+        for pick in own:
+            pick = [first, *pick]
+            # the fillings beyond three pieces: the longest that still fits, again and again
+            rest = counts[: capacity - sum(pick) + 1].copy()
+            for n in pick:
+                if n < len(rest):
+                    rest[n] -= 1
+            while len(fits := np.flatnonzero(rest[1 : capacity - sum(pick) + 1])):
+                pick.append(int(fits[-1]) + 1)
+                rest[pick[-1]] -= 1
+            seen.add(tuple(sorted(pick)))
+            yield tuple(pick)
+        counts[first] -= 1
+        left = counts[: capacity - first + 1].copy()
+        counts[first] += 1
+        for pick in fillings(left, capacity - first, (incumbent - 1) * capacity - total - waste):
+            if tuple(sorted((first, *pick))) not in seen:
+                yield (first, *pick)
 
     stack.append((choices(0), 0))
     while stack and nodes > 0:
         todo, waste = stack[-1]
-        if not todo:
+        if (pick := next(todo, None)) is None:
             stack.pop()
             if bins:
                 counts += np.bincount(bins.pop(), minlength=len(counts))
             continue
-        pick = list(todo.pop())
         wasted = waste + capacity - sum(pick)
-        # the fillings beyond three pieces: the longest that still fits, again and again
+        nodes -= 1
+        if wasted > (incumbent - 1) * capacity - total:
+            continue
         counts -= np.bincount(pick, minlength=len(counts))
-        while (room := capacity - sum(pick)) and len(fits := np.flatnonzero(counts[1 : room + 1])):
-            pick.append(int(fits[-1]) + 1)
-            counts[pick[-1]] -= 1
-        wasted = waste + capacity - sum(pick)
         bins.append(pick)
-        nodes -= 1
-        limit = (incumbent - 1) * capacity - total
-        if wasted > limit:
-            counts += np.bincount(bins.pop(), minlength=len(counts))
-        elif not counts.any():
-            best, incumbent = [list(b) for b in bins], len(bins)
-            if incumbent <= least:
-                break
-            counts += np.bincount(bins.pop(), minlength=len(counts))
-        else:
+        if counts.any():
             stack.append((choices(wasted), wasted))
+            continue
+        best, incumbent = [list(b) for b in bins], len(bins)
+        if incumbent <= least:
+            break
+        counts += np.bincount(bins.pop(), minlength=len(counts))
     return best
 
 
