@@ -19,7 +19,7 @@ import pyarrow as pa
 from wordmill.llm import vec
 
 #: Distinct pieces that a worker remembers; beyond them it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 _APOSTROPHE = 0x27
 
 
@@ -33,9 +33,8 @@ def byte_letters() -> dict[str, int]:
 class WordBpe:
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.exact = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         end, of = model["end_of_word_suffix"], byte_letters()
@@ -52,6 +51,13 @@ class WordBpe:
         self.bpe = tiktoken.Encoding("words", pat_str=r"[^\x00]*\x00", mergeable_ranks=ranks, special_tokens={})
         self.forget()
 
+    @functools.cached_property
+    def exact(self):
+        """The tokenizer of the library, which few texts need: it is loaded for the first of them."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def forget(self) -> None:
         self.keys, self.slots = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int32)
         self.n, self.used = 0, 0
@@ -90,8 +96,6 @@ class WordBpe:
 
     def learn(self, keys: np.ndarray, pieces: list[str]) -> None:
         """Encodes pieces that are new."""
-        if self.n + len(keys) > REMEMBERED and self.n:
-            self.forget()
         odd = [i for i, p in enumerate(pieces) if "\0" in p]
         if odd:
             kept = [p if "\0" not in p else "a" for p in pieces]
@@ -170,11 +174,12 @@ class WordBpe:
         """The entry of every piece."""
         keys = vec.segment_hashes(vec.char_values()[points], starts, ends) | np.uint64(1)
         found = self.find(keys)
-        for _ in range(2):  # once more if the memory started anew
-            if not len(new := np.flatnonzero(found < 0)):
-                break
+        if len(new := np.flatnonzero(found < 0)):
             fresh, first = np.unique(keys[new], return_index=True)
             first = new[first]
+            if self.n and self.n + len(fresh) > REMEMBERED:
+                self.forget()
+                fresh, first = np.unique(keys, return_index=True)
             text = points.tobytes().decode("utf-32-le")
             self.learn(fresh, [text[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
             found = self.find(keys)
