@@ -246,6 +246,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep
                 if keep_ids:
                     columns.append(vec.ragged(ids.astype(np.int32), length, pa.int32()))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(columns)])
+        bpe.forget()  # the worker may go on with other stages
+        vec.trim()
 
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
     return docs.select("doc_id", "text").mapInArrow(cut, schema)
