@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -42,11 +40,8 @@ def daily_counts(events: DataFrame, time: str, by: list[str], late: str = "2 day
     return stamped.groupBy(F.window("__t", "1 day").alias("w"), *by).agg(F.count("*").alias("n")).select(F.to_date("w.start").alias("day"), *by, "n")
 
 
-STATE = "n long, n_days int, last_days array<int>, explicit boolean"
-
-
 def fold_word(state: tuple | None, days: list[int], explicit: bool, most_days: int = 8) -> tuple[int, int, list[int], bool]:
-    """n, distinct days (counted up to `most_days`, in order of arrival), those days, explicit, after more events."""
+    """What learn() keeps of a key, in plain Python: n, distinct days (counted up to `most_days`, in order of arrival), those days, explicit."""
     n, _, seen, was = state or (0, 0, [], False)
     seen = list(seen)
     for day in days:
@@ -55,19 +50,14 @@ def fold_word(state: tuple | None, days: list[int], explicit: bool, most_days: i
     return n + len(days), len(seen), seen, bool(was or explicit)
 
 
-def learn(events: DataFrame, keys: list[str] | tuple[str, ...] = ("user_id", "word")) -> DataFrame:
-    """Keyed state of a stream (keys, day int, explicit boolean): keys, n, n_days and explicit after every batch that touches a key."""
-    kinds = {f.name: f.dataType.simpleString() for f in events.schema.fields}
-    out = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", n long, n_days int, explicit boolean"
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = state.get if state.exists else None
-        for rows in parts:
-            now = fold_word(now, rows["day"].tolist(), bool(rows["explicit"].any()))
-        state.update(now)
-        yield pd.DataFrame([[*key, now[0], now[1], now[3]]], columns=[*keys, "n", "n_days", "explicit"])
+def learn(events: DataFrame, keys: list[str] | tuple[str, ...] = ("user_id", "word"), most_days: int = 8) -> DataFrame:
+    """Keyed state of a stream (keys, day int, explicit boolean): keys, n, n_days (distinct ones, up to `most_days`) and
+    explicit after every batch that touches a key. Nulls count as in SQL.
 
-    return events.select(*keys, "day", "explicit").groupBy(*keys).applyInPandasWithState(step, out, STATE, "update", GroupStateTimeout.NoTimeout)
+    The state is that of the engine's aggregates: no key goes to Python by itself.
+    """
+    days = F.least(F.size(F.collect_set("day")), F.lit(most_days)).alias("n_days")
+    return events.groupBy(*keys).agg(F.count("*").alias("n"), days, F.bool_or("explicit").alias("explicit"))
 
 
 def recompute_changed(spark: SparkSession, log: str, key: str, analyse: Callable[[DataFrame], DataFrame], out: str) -> Callable[[DataFrame, int], None]:
