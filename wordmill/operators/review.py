@@ -160,15 +160,17 @@ def search(entries: DataFrame, queries: DataFrame, k: int = 24) -> DataFrame:
         return F.when(own, 0).when(q.contains(" "), several).otherwise(single)
 
     asked = queries.select("query", F.array_join(F.filter(F.split(F.lower("query"), r"\s+"), lambda x: x != ""), " ").alias("q")).where("q != ''")
-    met = entries.crossJoin(F.broadcast(asked))  # a stated set of queries against all entries
-    rows = met.withColumn("direct", hit(F.col("q"), [F.col("name"), F.col("other")], F.col("name_tokens"), F.col("keyword_tokens")))
     folded = lambda tokens: F.transform(tokens, fold)
-    rows = rows.withColumn("retry", hit(fold(F.col("q")), [fold(F.col("name")), fold(F.col("other"))], folded(F.col("name_tokens")), folded(F.col("keyword_tokens"))) + 5)
-    rows = rows.where("direct IS NOT NULL OR retry IS NOT NULL")
-    some = rows.groupBy("query").agg(F.count("direct").alias("n"))
-    rows = rows.join(some, "query").withColumn("hit", F.when(F.col("n") > 0, F.col("direct")).otherwise(F.col("retry"))).where("hit IS NOT NULL")
-    order = Window.partitionBy("query").orderBy("hit", F.asc_nulls_last("seen"), "o")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query", "id", "hit", "rank")
+    dealt = entries.repartition(4 * entries.sparkSession.sparkContext.defaultParallelism)  # a small file is one task's
+    dealt = dealt.select("*", fold(F.col("name")).alias("__name"), fold(F.col("other")).alias("__other"), folded(F.col("name_tokens")).alias("__names"), folded(F.col("keyword_tokens")).alias("__keys"))
+    met = dealt.crossJoin(F.broadcast(asked.withColumn("__q", fold(F.col("q")))))  # a stated set of queries against all entries
+    direct = hit(F.col("q"), [F.col("name"), F.col("other")], F.col("name_tokens"), F.col("keyword_tokens"))
+    retry = hit(F.col("__q"), [F.col("__name"), F.col("__other")], F.col("__names"), F.col("__keys")) + 5
+    both = F.explode(F.array(F.struct(F.lit(0).alias("way"), direct.alias("hit")), F.struct(F.lit(1).alias("way"), retry.alias("hit"))))
+    rows = met.select("query", "id", "seen", "o", both.alias("b")).select("query", "id", "seen", "o", "b.way", "b.hit").where("hit IS NOT NULL")
+    order = Window.partitionBy("query", "way").orderBy("hit", F.asc_nulls_last("seen"), "o")
+    best = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.withColumn("first", F.min("way").over(Window.partitionBy("query"))).where("way = first").select("query", "id", "hit", "rank")
 
 
 def replaced(tokens: DataFrame, pairs: DataFrame) -> DataFrame:
