@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordmill.functions.text import strip_all_accents, words
+from wordmill.operators.paircount import dealt, followed, totals
 
 
 def tokens(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -27,13 +28,25 @@ def unigrams(docs: DataFrame) -> DataFrame:
 
 
 def bigrams(docs: DataFrame) -> DataFrame:
-    return pairs(docs).groupBy("w1", "w2").agg(F.count("*").alias("freq"))
+    return followed(dealt(docs)).select("w1", "w2", "freq")
 
 
-def keep_known(bigram: DataFrame, unigram: DataFrame) -> DataFrame:
-    """Bigrams both of whose words are in the unigram table."""
-    known = unigram.select("word")
-    return bigram.join(known.withColumnRenamed("word", "w1"), "w1", "left_semi").join(known.withColumnRenamed("word", "w2"), "w2", "left_semi").select("w1", "w2", "freq")
+def counted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """bigrams(), with n1, how often w1 stands in all, and unigrams() of the same texts, which are cut into words once for both."""
+    blobs = dealt(docs)
+    return followed(blobs), totals(blobs)
+
+
+def _looked_up(each: DataFrame) -> DataFrame:
+    """One row a key, to be held by its hash while a larger table streams by unsorted."""
+    return each.hint("shuffle_hash")
+
+
+def keep_known(bigram: DataFrame, unigram: DataFrame, by: tuple[str, ...] = ("w1", "w2")) -> DataFrame:
+    """Bigrams both of whose words (or those that `by` names) are in the unigram table."""
+    for k in by:
+        bigram = bigram.join(_looked_up(unigram.select(F.col("word").alias(k))), k, "left_semi")
+    return bigram.select("w1", "w2", "freq")
 
 
 def fan_out(bigram: DataFrame) -> DataFrame:
@@ -65,13 +78,14 @@ def scale(unigram: DataFrame, most: int) -> DataFrame:
 
 
 def transfer(phrases: DataFrame, unigram: DataFrame, bigram: DataFrame) -> DataFrame:
-    """What a contraction (word, w1, w2) should count, by its two words: at least what it does.
+    """What a contraction (word, w1, w2; pair, its words' own count, is looked up where that column is missing) should count, by its two words: at least what it does.
 
     The less of f(w1) * share of w2 after w1 and f(w2) * share of w1 before w2, rounded to even; without one the other.
     """
     first, second = bigram.groupBy("w1").agg(F.sum("freq").alias("fan1")), bigram.groupBy("w2").agg(F.sum("freq").alias("fan2"))
     u = lambda k, n: unigram.select(F.col("word").alias(k), F.col("freq").alias(n))
-    joined = phrases.join(bigram.withColumnRenamed("freq", "pair"), ["w1", "w2"], "left").join(first, "w1", "left").join(second, "w2", "left").join(u("w1", "f1"), "w1", "left").join(u("w2", "f2"), "w2", "left").join(u("word", "old"), "word", "left")
+    paired = phrases if "pair" in phrases.columns else phrases.join(bigram.withColumnRenamed("freq", "pair"), ["w1", "w2"], "left")
+    joined = paired.join(first, "w1", "left").join(second, "w2", "left").join(u("w1", "f1"), "w1", "left").join(u("w2", "f2"), "w2", "left").join(u("word", "old"), "word", "left")
     one, two = F.col("f1") * F.col("pair") / F.col("fan1"), F.col("f2") * F.col("pair") / F.col("fan2")
     guess = F.least(F.when(one > 0, one), F.when(two > 0, two))
     return joined.select("word", F.coalesce("old", F.lit(0)).alias("old"), F.greatest(F.coalesce("old", F.lit(0)), F.coalesce(F.bround(guess), F.lit(0)).cast("long")).alias("freq"))
@@ -90,9 +104,9 @@ def floors(unigram: DataFrame, floor: DataFrame) -> DataFrame:
 
 def governors(bigram: DataFrame, analyses: DataFrame, least_mass: float = 50, most_ratio: float = 0.9) -> DataFrame:
     """Words whose next word's class is narrow: word, mass, ratio, class, share (analyses: word, class, several of a word split its count)."""
-    each = analyses.distinct()
-    split = each.join(each.groupBy("word").agg(F.count("*").alias("k")), "word").withColumnRenamed("word", "w2")
-    credit = bigram.join(split, "w2").groupBy("w1", "class").agg(F.sum(F.col("freq") / F.col("k")).alias("credit"))
+    held = analyses.groupBy("word").agg(F.collect_set("class").alias("classes"))
+    split = held.select(F.col("word").alias("w2"), "classes", F.size("classes").alias("k"))
+    credit = bigram.join(_looked_up(split), "w2").select("w1", F.explode("classes").alias("class"), (F.col("freq") / F.col("k")).alias("part")).groupBy("w1", "class").agg(F.sum("part").alias("credit"))
     total = credit.groupBy("w1").agg(F.sum("credit").alias("mass"), F.count("*").alias("n")).where(F.col("mass") >= least_mass)
     share = credit.join(total, "w1").withColumn("share", F.col("credit") / F.col("mass"))
     entropy = share.groupBy("w1").agg((-F.sum(F.col("share") * F.log2("share"))).alias("h"), F.first("n").alias("n"))

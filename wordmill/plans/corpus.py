@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wordmill.functions import edits, model, text
-from wordmill.operators import lexicon, lookup, quality, sessions
+from wordmill.operators import lexicon, lookup, paircount, quality, sessions
 from wordmill.plans.registry import query, table
 
 TOK = r"tok AS MATERIALIZED (SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '(\p{L}+)', 1)) AS w FROM documents)"
@@ -44,7 +44,7 @@ def fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {BI} SELECT w1, w2, freq, rank FROM (SELECT *, row_number() OVER (PARTITION BY w1 ORDER BY freq DESC, w2) AS rank FROM bi) WHERE rank <= 3""", rank="INT")
 def continuations_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookup.continuations(lexicon.bigrams(_docs(spark, sf_dir)))
+    return paircount.continued(paircount.dealt(_docs(spark, sf_dir)), 3)
 
 
 @query(f"""WITH {UNI}, f AS (SELECT strip_accents(word) AS bare, max(freq) AS most FROM uni WHERE word != strip_accents(word) GROUP BY 1)
@@ -62,8 +62,8 @@ def pruned_unlisted(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {UNI}, {BI}, k AS MATERIALIZED (SELECT word FROM uni WHERE freq >= 5)
 SELECT w1, w2, bi.freq FROM bi JOIN k a ON a.word = w1 JOIN k b ON b.word = w2""")
 def known_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir)
-    return lexicon.keep_known(lexicon.bigrams(docs), lexicon.unigrams(docs).where("freq >= 5"))
+    pairs, uni = lexicon.counted(_docs(spark, sf_dir))
+    return lexicon.keep_known(pairs.where("n1 >= 5"), uni.where("freq >= 5"), ("w2",))
 
 
 @query(f"""WITH {UNI}, d AS (SELECT greatest(1, CAST(ceil(max(freq) / 255.0) AS BIGINT)) AS d FROM uni)
@@ -78,9 +78,8 @@ j AS (SELECT ph.word, coalesce(o.freq, 0) AS old, least(u1.freq * CAST(pair AS D
 JOIN uni u1 ON u1.word = w1 JOIN uni u2 ON u2.word = w2 LEFT JOIN uni o ON o.word = ph.word)
 SELECT word, old, greatest(old, CAST(round_even(guess, 0) AS BIGINT)) AS freq FROM j""")
 def transferred(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir)
-    pairs = lexicon.bigrams(docs)
-    return lexicon.transfer(pairs.where("freq >= 20").select(F.concat("w1", "w2").alias("word"), "w1", "w2"), lexicon.unigrams(docs), pairs)
+    pairs, uni = lexicon.counted(_docs(spark, sf_dir))
+    return lexicon.transfer(pairs.where("freq >= 20").select(F.concat("w1", "w2").alias("word"), "w1", "w2", F.col("freq").alias("pair")), uni, pairs)
 
 
 @query(f"""WITH {UNI}, e AS (SELECT word || 's' AS word, word AS stand_in, freq FROM uni WHERE freq >= 100)
@@ -103,10 +102,9 @@ s AS (SELECT w1, class, mass, n, credit / mass AS share FROM cr JOIN t USING (w1
 h AS (SELECT w1, CASE WHEN any_value(n) > 1 THEN -sum(share * log2(share)) / log2(any_value(n)) ELSE 0 END AS ratio FROM s GROUP BY 1)
 SELECT w1 AS word, round(CAST(mass AS DOUBLE), 6) AS mass, round(CAST(ratio AS DOUBLE), 6) AS ratio, class, round(CAST(share AS DOUBLE), 6) AS share FROM s JOIN h USING (w1) WHERE ratio <= 0.9""")
 def governors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir)
-    uni = lexicon.unigrams(docs)
+    pairs, uni = lexicon.counted(_docs(spark, sf_dir))
     analyses = uni.select("word", F.explode(F.array(F.right("word", F.lit(1)), F.concat(F.lit("n"), F.length("word").cast("string")))).alias("class"))
-    return lexicon.governors(lexicon.bigrams(docs), analyses)
+    return lexicon.governors(pairs, analyses)
 
 
 CAL = """lu AS (SELECT lang, w AS word, count(*) AS freq FROM tok WHERE lang IS NOT NULL GROUP BY 1, 2),
@@ -141,11 +139,10 @@ def lane_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT w1, w2, round(ln(b.p), 6) AS ln_p, round(ln(0.6 * bi.freq / a.freq + 0.4 * b.p), 6) AS ln_pair, round(ln(0.6 * bi.freq / a.freq + 0.4 * b.p) - ln(b.p), 6) AS lift
 FROM bi JOIN p a ON a.word = w1 JOIN p b ON b.word = w2""")
 def pair_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir)
-    uni = lexicon.unigrams(docs)
+    pairs, uni = lexicon.counted(_docs(spark, sf_dir))
     total = uni.agg(F.sum("freq").alias("n"))
     p = uni.crossJoin(F.broadcast(total)).withColumn("p", model.unigram_p(F.col("freq"), F.col("n")))
-    both = lexicon.bigrams(docs).join(uni.select(F.col("word").alias("w1"), F.col("freq").alias("f1")), "w1").join(p.select(F.col("word").alias("w2"), "p"), "w2")
+    both = pairs.withColumnRenamed("n1", "f1").join(p.select(F.col("word").alias("w2"), "p").hint("shuffle_hash"), "w2")
     pair = F.log(model.bigram_p(F.col("freq"), F.col("f1"), F.col("p")))
     return both.select("w1", "w2", F.round(F.log("p"), 6).alias("ln_p"), F.round(pair, 6).alias("ln_pair"), F.round(pair - F.log("p"), 6).alias("lift"))
 
@@ -166,9 +163,9 @@ c AS (SELECT word, freq, row_number() OVER (ORDER BY freq DESC, word) AS rank FR
 SELECT context, word, freq, rank, 'bigram' AS source FROM s WHERE rank <= 3
 UNION ALL SELECT context, word, freq, rank, 'unigram' FROM ctx, c WHERE rank <= 3 AND context NOT IN (SELECT w1 FROM bi)""", rank="INT")
 def next_word_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir)
+    pairs, uni = lexicon.counted(_docs(spark, sf_dir))
     turns = table(spark, sf_dir, "conversations", "text").select(text.words(F.col("text")).alias("ws")).where(F.size("ws") > 0)
-    return lookup.next_words(turns.select(F.element_at("ws", -1).alias("context")), lexicon.bigrams(docs), lexicon.unigrams(docs))
+    return lookup.next_words(turns.select(F.element_at("ws", -1).alias("context")), pairs, uni)
 
 
 #: DuckDB's levenshtein counts bytes, so letters beyond ASCII are put in the place of capitals, which the words don't have.
