@@ -280,8 +280,10 @@ count_if(regexp_full_match(w, '\p{L}[\p{L}''\-]*\p{L}')) AS importable, count_if
 count_if(regexp_matches(w, '^[^\n]+[.@][^\n]+$') OR regexp_matches(w, '^[^\p{L}\p{N}]')) AS verbatim, count_if(regexp_matches(w, '[þðæöáéíóúýÞÐÆÖÁÉÍÓÚÝ]')) AS icelandic FROM t""", eligible="BIGINT", importable="BIGINT", words="BIGINT", verbatim="BIGINT", icelandic="BIGINT")
 def token_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = F.col("w")
-    rows = _docs(spark, sf_dir).select(F.explode(text.spaced(F.col("text"))).alias("w"))
-    return rows.agg(F.count("*").alias("n"), *(F.count_if(f).alias(k) for k, f in {"eligible": text.is_eligible(w), "importable": text.is_importable(w), "words": text.is_word(F.lower(w)), "verbatim": text.is_verbatim(w), "icelandic": text.is_icelandic(w)}.items()))
+    rows = _docs(spark, sf_dir).select(F.explode(F.split(F.translate("text", "\n\t\r", "   "), " +")).alias("w")).where("w != ''")
+    rows = rows.groupBy("w").agg(F.count("*").alias("k"))  # the patterns meet every token once
+    often = lambda f: F.coalesce(F.sum(F.when(f, F.col("k"))), F.lit(0))
+    return rows.agg(often(F.lit(True)).alias("n"), *(often(f).alias(k) for k, f in {"eligible": text.is_eligible(w), "importable": text.is_importable(w), "words": text.is_word(F.lower(w)), "verbatim": text.is_verbatim(w), "icelandic": text.is_icelandic(w)}.items()))
 
 
 FORMS = "fm AS (SELECT substr(word, 1, 4) AS lemma, word AS form, freq, CAST((length(word) - 4) | 8 AS INT) AS bundle FROM uni WHERE length(word) BETWEEN 5 AND 8)"
